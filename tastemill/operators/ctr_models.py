@@ -91,27 +91,25 @@ def _with_item_and_user_vectors(rows: DataFrame, vectors: Vectors) -> DataFrame:
     return out.withColumns({"itemVector": array_to_vector("itemArray"), "userVector": array_to_vector("userArray")})
 
 
-def _assembly(dense: list[str], indicators: list[str]) -> Pipeline:
-    """Dense inputs brought to unit variance, followed by sparse indicators."""
-    return Pipeline(
+def _fit(prepared: DataFrame, dense: list[str], indicators: list[str], estimator) -> PipelineModel:
+    """Scale the dense inputs, append the sparse indicators, fit the estimator."""
+    dense_assembler = VectorAssembler(inputCols=dense, outputCol="dense")
+    # Read for the scaler, for the width, and by the trainer, which keeps its own copy.
+    rows = dense_assembler.transform(prepared).select("dense", *indicators, "label")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rest = Pipeline(
         stages=[
-            VectorAssembler(inputCols=dense, outputCol="dense"),
             StandardScaler(inputCol="dense", outputCol="scaled", withMean=True, withStd=True),
             VectorAssembler(inputCols=["scaled", *indicators], outputCol="features"),
         ]
-    )
-
-
-def _fit(train: DataFrame, assembly: Pipeline, estimator) -> PipelineModel:
-    fitted = assembly.fit(train)
-    # Every pass of the optimizer reads these rows again.
-    features = fitted.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    ).fit(rows)
+    features = rest.transform(rows).select("features", "label")
     if isinstance(estimator, MultilayerPerceptronClassifier):
-        width = features.select("features").first()[0].size
+        width = features.first()["features"].size
         estimator = estimator.copy().setLayers([width, *estimator.getLayers(), 2])
     model = estimator.fit(features)
-    features.unpersist()
-    return PipelineModel(stages=[*fitted.stages, model])
+    rows.unpersist()
+    return PipelineModel(stages=[dense_assembler, *rest.stages, model])
 
 
 def _network(hidden: list[int], epochs: int, seed: int, probability: str = "probability"):
@@ -140,8 +138,8 @@ def fit_ctr_mlp(
     def prepare(rows: DataFrame) -> DataFrame:
         return genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
 
-    assembly = _assembly(["itemVector", "userVector", *NUMBERS], [f"{c}IndexVec" for c in GENRE_COLUMNS])
-    model = _fit(prepare(train), assembly, _network(HIDDEN, epochs, seed, probability))
+    dense, indicators = ["itemVector", "userVector", *NUMBERS], [f"{c}IndexVec" for c in GENRE_COLUMNS]
+    model = _fit(prepare(train), dense, indicators, _network(HIDDEN, epochs, seed, probability))
     return CtrModel(prepare, model, probability)
 
 
@@ -151,7 +149,7 @@ def fit_neural_cf(train: DataFrame, vectors: Vectors, *, epochs: int = EPOCHS, s
     def prepare(rows: DataFrame) -> DataFrame:
         return _with_item_and_user_vectors(rows, vectors)
 
-    model = _fit(prepare(train), _assembly(["itemVector", "userVector"], []), _network(CF_HIDDEN, epochs, seed))
+    model = _fit(prepare(train), ["itemVector", "userVector"], [], _network(CF_HIDDEN, epochs, seed))
     return CtrModel(prepare, model)
 
 
@@ -237,7 +235,7 @@ def fit_factorization(
     dense = [*dot_crosses(), *NUMBERS]
     indicators = [*[f"{c}IndexVec" for c in genres], "movieBucketVec", "userBucketVec"]
     machine = FMClassifier(factorSize=FM_FACTORS, maxIter=epochs, stepSize=0.01, seed=seed)
-    return CtrModel(prepare, _fit(prepare(train), _assembly(dense, indicators), machine))
+    return CtrModel(prepare, _fit(prepare(train), dense, indicators, machine))
 
 
 def tower_inputs(side: str) -> tuple[list[str], list[str]]:
@@ -260,8 +258,8 @@ def fit_two_tower(
     def prepare(rows: DataFrame) -> DataFrame:
         return genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
 
-    assembly = _assembly([*item_dense, *user_dense], [*item_sparse, *user_sparse])
-    return CtrModel(prepare, _fit(prepare(train), assembly, _network(TOWER_HIDDEN, epochs, seed)))
+    dense, indicators = [*item_dense, *user_dense], [*item_sparse, *user_sparse]
+    return CtrModel(prepare, _fit(prepare(train), dense, indicators, _network(TOWER_HIDDEN, epochs, seed)))
 
 
 def evaluate(scored: DataFrame) -> dict[str, float]:

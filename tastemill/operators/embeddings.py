@@ -126,9 +126,10 @@ def similar_items(vectors: DataFrame, item: object, k: int = SIMILAR_ITEMS) -> D
     """
     # One value: items are unique in the table of vectors.
     query = vectors.where(F.col("item") == F.lit(item)).select("vector").scalar()
-    similarity = F.try_divide(dot("vector", query), _norm("vector") * _norm(query))
+    similarity = F.try_divide(dot("vector", "__query"), _norm("vector") * _norm("__query"))
     return (
         vectors.where(F.col("item") != F.lit(item))
+        .withColumn("__query", query)
         .select("item", similarity.alias("similarity"))
         .where(F.col("similarity").isNotNull())
         .orderBy(F.col("similarity").desc(), "item")

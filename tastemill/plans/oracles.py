@@ -196,7 +196,7 @@ label_table AS (
   FROM labels_seen GROUP BY genre
 )"""
 
-VECTORS = "vectors AS (SELECT vec_id AS item, list_transform(embedding, x -> x::DOUBLE) AS vector FROM embeddings)"
+VECTORS = "vectors AS (SELECT vec_id AS item, embedding::DOUBLE[] AS vector FROM embeddings)"
 
 USER_SUMS = f"""
 dims AS (SELECT unnest(range(0, {STORED_VECTOR_SIZE})) AS position),
@@ -205,7 +205,7 @@ user_dims AS (
   FROM r LEFT JOIN vectors ON item = movieId CROSS JOIN dims GROUP BY userId, position
 )"""
 
-ZEROS = f"list_transform(range(0, {STORED_VECTOR_SIZE}), x -> 0::DOUBLE)"
+ZEROS = f"list_resize([]::DOUBLE[], {STORED_VECTOR_SIZE}, 0::DOUBLE)"
 
 VOCABULARY = "[" + ", ".join(f"'{g}'" for g in PART_GENRES) + "]"
 
@@ -300,7 +300,7 @@ ORACLES: dict[str, str] = {
     "order_random_walks": walks_sql(RATINGS, "r", LINE_ORDER),
     "hash_split": with_(RATINGS) + f"SELECT {KEYS}, {SPLIT} FROM r",
     "user_vectors": with_(RATINGS, VECTORS, USER_SUMS)
-    + "SELECT userId, position, round(value, 4) AS value FROM user_dims",
+    + "SELECT userId, position, round(value, 4) + 0.0 AS value FROM user_dims",
     "similar_vectors": with_(VECTORS)
     + "SELECT item, round(list_cosine_similarity(vector, (SELECT vector FROM vectors WHERE item = "
     + f"{QUERY_ITEM})), 6) AS similarity FROM vectors WHERE item <> {QUERY_ITEM} "
@@ -321,9 +321,9 @@ joined AS (
   FROM samples s LEFT JOIN vectors v ON v.item = s.movieId LEFT JOIN user_sum u ON u.userId = s.userId
   LEFT JOIN genre_mean a ON a.genre = movieGenre1 LEFT JOIN genre_mean b ON b.genre = userGenre1
 )
-SELECT {KEYS}, userId, round(list_dot_product(iv, uv), 4) AS itemUserDot,
-       round(list_dot_product(iv, ug), 4) AS itemUserGenreDot, round(list_dot_product(ig, uv), 4) AS itemGenreUserDot,
-       round(list_dot_product(ig, ug), 4) AS itemGenreUserGenreDot
+SELECT {KEYS}, userId, round(list_dot_product(iv, uv), 4) + 0.0 AS itemUserDot,
+       round(list_dot_product(iv, ug), 4) + 0.0 AS itemUserGenreDot, round(list_dot_product(ig, uv), 4) + 0.0 AS itemGenreUserDot,
+       round(list_dot_product(ig, ug), 4) + 0.0 AS itemGenreUserGenreDot
 FROM joined""",
     "hashed_cross": with_(*UP_TO_FEATURED, past())
     + f"SELECT {KEYS}, userId, liked[1] AS userRatedMovie1, "

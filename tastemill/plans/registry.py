@@ -297,7 +297,7 @@ def user_vectors(spark: SparkSession, folder: str) -> DataFrame:
     vectors = item_vectors(spark, folder)
     sums = emb.user_vectors(line_ratings(spark, folder), vectors, STORED_VECTOR_SIZE)
     return sums.select("userId", F.posexplode("vector").alias("position", "value")).withColumn(
-        "value", F.round("value", 4)
+        "value", F.round("value", 4) + 0.0
     )
 
 
@@ -316,7 +316,7 @@ def dot_crosses(spark: SparkSession, folder: str) -> DataFrame:
     rows = emb.attach_vectors(rows, users, "userId", "userVector", size)
     rows = emb.attach_vectors(rows, genres, "movieGenre1", "itemGenreVector", size)
     rows = emb.attach_vectors(rows, genres, "userGenre1", "userGenreVector", size)
-    crosses = [F.round(c, 4).alias(name) for name, c in ctr.dot_crosses().items()]
+    crosses = [(F.round(c, 4) + 0.0).alias(name) for name, c in ctr.dot_crosses().items()]
     return rows.select(*LINE_KEYS, "userId", *crosses)
 
 
@@ -447,9 +447,9 @@ def training_frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 def word_vectors(spark: SparkSession, folder: str, train: DataFrame) -> models.Vectors:
     """Item vectors from training rows, user vectors as their sums, genre means."""
-    vectors = emb.model_vectors(emb.item2vec(train, LINE_RATINGS))
-    users = emb.user_vectors(train, vectors).withColumnRenamed("userId", "item")
-    genres = ctr.genre_vectors(part_items(spark, folder), vectors, emb.VECTOR_SIZE)
+    vectors = emb.model_vectors(emb.item2vec(train, LINE_RATINGS)).persist()
+    users = emb.user_vectors(train, vectors).withColumnRenamed("userId", "item").persist()
+    genres = ctr.genre_vectors(part_items(spark, folder), vectors, emb.VECTOR_SIZE).persist()
     return models.Vectors(vectors, users, emb.VECTOR_SIZE, genres)
 
 
