@@ -117,8 +117,12 @@ def genre_indicators(df: DataFrame, columns: list[str], vocabulary: list[str] |
 
 def id_indicator(df: DataFrame, column: str, size: int) -> DataFrame:
     """Add ``<column>Vec``, an indicator of exactly ``size`` slots."""
+    vector = f"{column}Vec"
     marked = df.withColumn(column, sized(column, size))
-    return OneHotEncoder(inputCol=column, outputCol=f"{column}Vec", dropLast=False).fit(marked).transform(marked)
+    encoded = OneHotEncoder(inputCol=column, outputCol=vector, dropLast=False).fit(marked).transform(marked)
+    # One name per slot would otherwise be carried through every later plan.
+    bare = F.col(vector).alias(vector, metadata={"ml_attr": {"num_attrs": size}})
+    return encoded.withColumn(vector, bare)
 
 
 def genre_vectors(items: DataFrame, vectors: DataFrame, size: int, key: str = "movieId") -> DataFrame:

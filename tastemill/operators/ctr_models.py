@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import FMClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +24,12 @@ from tastemill.operators.ctr_features import (
     GENRES,
     ITEM_GENRES,
     ITEM_NUMBERS,
-    MOVIE_BUCKETS,
     NUMBERS,
-    USER_BUCKETS,
     USER_GENRES,
     USER_NUMBERS,
     dot_crosses,
     genre_indicators,
     hashed_cross,
-    id_bucket,
     id_indicator,
 )
 from tastemill.operators.embeddings import attach_vectors
@@ -45,6 +42,9 @@ CF_HIDDEN = [64, 64]
 TOWER_HIDDEN = [128, 128, 32]
 FM_FACTORS = 10
 
+# More slots than movie and user ids together, so few ids share one.
+FIRST_ORDER_SLOTS = 1 << 18
+
 Prepare = Callable[[DataFrame], DataFrame]
 
 
@@ -202,40 +202,72 @@ def fit_wide_deep(
     return CtrModel(prepare, blend)
 
 
-def fit_factorization(
+def fit_deep_fm(
     train: DataFrame,
     vectors: Vectors,
+    keys: list[str],
     vocabulary: list[str] = GENRES,
     *,
-    movie_buckets: int = MOVIE_BUCKETS,
-    user_buckets: int = USER_BUCKETS,
+    first_order_slots: int = FIRST_ORDER_SLOTS,
     epochs: int = EPOCHS,
     seed: int = 42,
+    blend_percent: int = 20,
 ) -> CtrModel:
-    """A factorization machine on first-order indicators, dot crosses and numbers.
-
-    Ids outside their buckets share bucket 0, so the model's size is set by the
-    bucket numbers and not by the data.
+    """First-order indicators, dot crosses and a deep part into one output layer.
+
+    The output layer is a logistic regression over hashed first-order terms, so
+    its size is set by ``first_order_slots`` and not by the number of ids. A
+    factorization machine adds pairwise terms of genres, crosses and numbers;
+    Spark's builds a dense gradient per row, so the id indicators stay out of
+    it. As in ``fit_wide_deep`` the output layer is fitted on rows that the
+    parts below it have not seen.
     """
     if vectors.genres is None:
         raise ValueError("dot crosses need genre vectors")
+    held = split_bucket([*keys, "label"]) < blend_percent
+    own_rows, blend_rows = train.where(~held), train.where(held)
     genres = [ITEM_GENRES[0], USER_GENRES[0]]
+    genre_slots = [f"{c}IndexVec" for c in genres]
+    crosses = dot_crosses("itemArray", "userArray", "itemGenreArray", "userGenreArray")
 
-    def prepare(rows: DataFrame) -> DataFrame:
-        out = _with_item_and_user_vectors(rows, vectors)
+    def crossed(rows: DataFrame) -> DataFrame:
+        out = genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
         out = attach_vectors(out, vectors.genres, genres[0], "itemGenreArray", vectors.size)
-        out = attach_vectors(out, vectors.genres, genres[1], "userGenreArray", vectors.size)
-        out = out.withColumns(dot_crosses("itemArray", "userArray", "itemGenreArray", "userGenreArray"))
-        out = genre_indicators(out, genres, vocabulary)
-        out = out.withColumns(
-            {"movieBucket": id_bucket("movieId", movie_buckets, 0), "userBucket": id_bucket("userId", user_buckets, 0)}
-        )
-        return id_indicator(id_indicator(out, "movieBucket", movie_buckets), "userBucket", user_buckets)
+        return attach_vectors(out, vectors.genres, genres[1], "userGenreArray", vectors.size).withColumns(crosses)
 
-    dense = [*dot_crosses(), *NUMBERS]
-    indicators = [*[f"{c}IndexVec" for c in genres], "movieBucketVec", "userBucketVec"]
-    machine = FMClassifier(factorSize=FM_FACTORS, maxIter=epochs, stepSize=0.01, seed=seed)
-    return CtrModel(prepare, _fit(prepare(train), dense, indicators, machine))
+    own = crossed(own_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    machine = FMClassifier(
+        factorSize=FM_FACTORS,
+        maxIter=epochs,
+        stepSize=0.01,
+        seed=seed,
+        probabilityCol="pairs",
+        rawPredictionCol="pairsRaw",
+        predictionCol="pairsClass",
+    )
+    pair_model = _fit(own, [*crosses, *NUMBERS], genre_slots, machine)
+    deep_inputs = ["itemVector", "userVector", *NUMBERS], [f"{c}IndexVec" for c in GENRE_COLUMNS]
+    deep_model = _fit(own, *deep_inputs, _network(HIDDEN, epochs, seed, "deep"))
+    own.unpersist()
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        out = pair_model.transform(crossed(rows)).drop("dense", "scaled", "features")
+        out = deep_model.transform(out).drop("dense", "scaled", "features")
+        return out.withColumns({"pairsScore": _like("pairs"), "deepScore": _like("deep")})
+
+    ids = ["movieId", "userId"]
+    output = Pipeline(
+        stages=[
+            FeatureHasher(
+                inputCols=[*ids, *genres, *crosses, "pairsScore", "deepScore"],
+                categoricalCols=ids,
+                outputCol="features",
+                numFeatures=first_order_slots,
+            ),
+            LogisticRegression(featuresCol="features", labelCol="label", maxIter=epochs, regParam=0.01),
+        ]
+    ).fit(prepare(blend_rows))
+    return CtrModel(prepare, output)
 
 
 def tower_inputs(side: str) -> tuple[list[str], list[str]]:

@@ -474,7 +474,7 @@ def wide_deep(spark: SparkSession, folder: str) -> DataFrame:
 def fm(spark: SparkSession, folder: str) -> DataFrame:
     train, test = training_frames(spark, folder)
     vectors = word_vectors(spark, folder, train)
-    return models.fit_factorization(train, vectors, PART_GENRES).score(test, LINE_KEYS)
+    return models.fit_deep_fm(train, vectors, LINE_KEYS, PART_GENRES).score(test, LINE_KEYS)
 
 
 def two_tower(spark: SparkSession, folder: str) -> DataFrame:
