@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.columns import RatingColumns
@@ -21,6 +25,8 @@ SIMILAR_ITEMS = 20
 
 # Sequences trained on by one Word2Vec task in one pass.
 SEQUENCES_PER_TASK = 100_000
+# Queries sent to the tasks at once in a batch search.
+QUERIES_PER_PASS = 4096
 
 
 def fit_item2vec(
@@ -36,12 +42,14 @@ def fit_item2vec(
     """Train item vectors on item sequences.
 
     Word2Vec trains in one task unless told otherwise. The number of tasks here
-    grows with the number of sequences. Sequences are sorted first, so that the
-    same data is trained on in the same order.
+    grows with the number of sequences. Sequences are sorted by their other
+    columns, which identify them, so that the same data is trained on in the
+    same order.
     """
-    words = sequences.select(F.col(items).cast("array<string>").alias("words"))
     if partitions is None:
-        partitions = words.count() // SEQUENCES_PER_TASK + 1
+        partitions = sequences.count() // SEQUENCES_PER_TASK + 1
+    ids = [c for c in sequences.columns if c != items]
+    words = sequences.orderBy(*ids) if ids else sequences
     return Word2Vec(
         inputCol="words",
         outputCol="vector",
@@ -51,7 +59,7 @@ def fit_item2vec(
         maxSentenceLength=SEGMENT_ITEMS,
         numPartitions=partitions,
         seed=seed,
-    ).fit(words.orderBy("words"))
+    ).fit(words.select(F.col(items).cast("array<string>").alias("words")))
 
 
 def model_vectors(model: Word2VecModel, item_type: str = "long") -> DataFrame:
@@ -137,6 +145,63 @@ def similar_items(vectors: DataFrame, item: object, k: int = SIMILAR_ITEMS) -> D
     )
 
 
+def similar_items_batch(vectors: DataFrame, queries: DataFrame, k: int = SIMILAR_ITEMS) -> DataFrame:
+    """The ``k`` most similar items for every query: ``(query, item, similarity)``.
+
+    ``queries`` are ``(item, vector)`` rows; a query does not find itself. They
+    go to the tasks in slices of about ``QUERIES_PER_PASS``, one pass over
+    ``vectors`` per slice. A task scores its vectors against the slice by matrix
+    products and gives out only its best ``k`` per query. The result is exact,
+    so the work is the number of queries times the number of vectors.
+    """
+    slices = queries.count() // QUERIES_PER_PASS + 1
+    slice_of = F.pmod(F.xxhash64("item"), F.lit(slices))
+    item_type = vectors.schema["item"].dataType.simpleString()
+    found = []
+    for number in range(slices):
+        rows = queries.where(slice_of == number).select("item", "vector").collect()
+        if rows:
+            search = _best_matches([r["item"] for r in rows], [r["vector"] for r in rows], k)
+            schema = f"query {item_type}, item {item_type}, similarity double"
+            found.append(vectors.select("item", "vector").mapInPandas(search, schema))
+    if not found:
+        return vectors.select(F.col("item").alias("query"), "item", F.lit(0.0).alias("similarity")).limit(0)
+    best_first = Window.partitionBy("query").orderBy(F.col("similarity").desc(), "item")
+    return (
+        reduce(DataFrame.unionByName, found)
+        .withColumn("__rank", F.row_number().over(best_first))
+        .where(F.col("__rank") <= k)
+        .drop("__rank")
+    )
+
+
+def _best_matches(ids: list, vectors: list, k: int):
+    """A task's search: its best ``k`` vectors for each of the given queries."""
+    query_ids = np.array(ids)
+    matrix = np.array(vectors, dtype=float)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+
+    def search(batches):
+        kept = pd.DataFrame({"query": query_ids[:0], "item": query_ids[:0], "similarity": np.zeros(0)})
+        for batch in batches:
+            items = batch["item"].to_numpy()
+            values = np.stack(batch["vector"].to_numpy()).astype(float)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores = matrix @ (values / np.linalg.norm(values, axis=1, keepdims=True)).T
+            # Vectors of length zero have no direction, and a query is not its own match.
+            scores[np.isnan(scores) | (query_ids[:, None] == items[None, :])] = -np.inf
+            depth = min(k, len(items))
+            floor = np.partition(scores, -depth, axis=1)[:, -depth]
+            row, column = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+            new = pd.DataFrame({"query": query_ids[row], "item": items[column], "similarity": scores[row, column]})
+            both = pd.concat([kept, new]).sort_values(["query", "similarity", "item"], ascending=[True, False, True])
+            kept = both.groupby("query", sort=False).head(k)
+        yield kept
+
+    return search
+
+
 def synonyms(model: Word2VecModel, item: object, k: int = SIMILAR_ITEMS) -> DataFrame:
     """Similar items out of a trained model."""
     return similar_items(model_vectors(model, "string"), str(item), k)

@@ -122,21 +122,15 @@ def count_quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
     """
     upto = Window.partitionBy(F.lit(0)).orderBy(column)
     counted = value_counts(df, column).select(
-        F.col(column).cast("double").alias("__value"),
-        F.sum("__n").over(upto).alias("__hi"),
-        F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__total"),
-        F.col("__n"),
+        F.col(column).cast("double").alias("value"),
+        F.sum("__n").over(upto).alias("hi"),
+        F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("total"),
+        F.col("__n").alias("n"),
     )
-    # Value v is the i-th quantile when its ranks hold ceil(i * total / buckets).
-    first_rank = F.col("__hi") - F.col("__n") + 1
-    rank = F.expr(f"(i * __total + {buckets - 1}) div {buckets}")
-    picked = (
-        counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(buckets - 1))))
-        .where((rank >= first_rank) & (rank <= F.col("__hi")))
-        .select("__value")
-        .distinct()
-    )
-    return sorted(r[0] for r in picked.collect())
+    # The i-th quantile has rank ceil(i * total / buckets), so hi * buckets div total
+    # counts the quantiles up to a value. A value is a quantile where that count grows.
+    cuts = counted.where(f"least({buckets - 1}, hi * {buckets} div total) > (hi - n) * {buckets} div total")
+    return sorted(r["value"] for r in cuts.select("value").collect())
 
 
 def fit_count_buckets(df: DataFrame, column: str, output: str, buckets: int = 100) -> Bucketizer:

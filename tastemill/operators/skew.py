@@ -10,18 +10,20 @@ few rows a bounded window frame needs across each cut, so that windows over
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemill.session import ensure_checkpoint_dir
 
 # A key with more rows than this is split over several tasks.
 HOT_ROWS = 2_000_000
-# A lookup table of at most this many rows is broadcast.
+# A lookup table is broadcast up to this many rows and about this many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 # Copies of a hot key's lookup row, and so tasks its rows are spread over.
 SALTS = 64
 
@@ -55,7 +57,31 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFr
 
 
 def _with_broadcast(hot: DataFrame) -> DataFrame:
-    return F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
+    return F.broadcast(hot) if fits_broadcast(hot) else hot
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes in memory."""
+    sizes = [F.lit(0)]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.lit(16) + F.coalesce(F.octet_length(f.name), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.NumericType):
+            sizes.append(F.lit(16) + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0)))
+        elif isinstance(f.dataType, T.ArrayType):
+            sizes.append(F.lit(16) + 8 * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0)))
+        elif isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            sizes.append(F.lit(8))
+        else:
+            sizes.append(F.lit(16) + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0)))
+    return reduce(add, sizes).cast("long")
+
+
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the whole table is within both broadcast limits, by measuring it."""
+    measured = df.select(_row_bytes(df).alias("__bytes")).limit(rows + 1)
+    n, total = measured.agg(F.count(F.lit(1)), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup_join(
@@ -70,11 +96,11 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per ``key``.
 
-    A right side of checked small size is broadcast, so ``left`` is not
+    A right side measured to be small is broadcast, so ``left`` is not
     shuffled. Otherwise both sides are shuffled; rows of hot keys carry a salt
     and the matching right rows are repeated once per salt.
     """
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)
 
     hot = hot_keys(left.where(F.col(key).isNotNull()), [key], hot_rows)

@@ -306,6 +306,11 @@ ORACLES: dict[str, str] = {
     + f"{QUERY_ITEM})), 6) AS similarity FROM vectors WHERE item <> {QUERY_ITEM} "
     + "ORDER BY list_cosine_similarity(vector, (SELECT vector FROM vectors WHERE item = "
     + f"{QUERY_ITEM})) DESC, item LIMIT 20",
+    "similar_vectors_batch": with_(VECTORS)
+    + "SELECT query, item, round(similarity, 6) AS similarity FROM ("
+    + "SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS k FROM ("
+    + "SELECT q.item AS query, v.item AS item, list_cosine_similarity(q.vector, v.vector) AS similarity "
+    + "FROM vectors q JOIN vectors v ON q.item <> v.item)) WHERE k <= 20",
     "dot_crosses": with_(*UP_TO_SAMPLES, VECTORS, USER_SUMS)
     + f""",
 user_sum AS (SELECT userId, list(value ORDER BY position) AS userVector FROM user_dims GROUP BY userId),

@@ -306,6 +306,12 @@ def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def similar_vectors_batch(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = item_vectors(spark, folder)
+    found = emb.similar_items_batch(vectors, vectors)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def dot_crosses(spark: SparkSession, folder: str) -> DataFrame:
     vectors, items = item_vectors(spark, folder), part_items(spark, folder)
     size = STORED_VECTOR_SIZE
@@ -523,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "hash_split": hash_split,
     "user_vectors": user_vectors,
     "similar_vectors": similar_vectors,
+    "similar_vectors_batch": similar_vectors_batch,
     "dot_crosses": dot_crosses,
     "hashed_cross": hashed_cross,
     "genre_vocab_lookup": genre_vocab_lookup,
