@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tastemill.columns import RatingColumns
 from tastemill.functions.scalars import genre_list, ranked_values, slots, two_digits
-from tastemill.operators.skew import CHUNK, HOT_ROWS, drop_helper_columns, ordered_groups
+from tastemill.operators.skew import HOT_ROWS, drop_helper_columns, group_window, ordered_groups
 
 # Fixed values.
 HISTORY_ROWS = 100
@@ -18,7 +18,7 @@ MIN_HISTORY = 1
 
 def _past(cols: RatingColumns, rows: int) -> WindowSpec:
     """A user's previous ``rows`` ratings, the current one left out."""
-    return Window.partitionBy(cols.user, CHUNK).orderBy(*cols.order).rowsBetween(-rows, -1)
+    return group_window([cols.user], cols.order).rowsBetween(-rows, -1)
 
 
 def _past_items(cols: RatingColumns, w: WindowSpec) -> Column:
@@ -83,14 +83,20 @@ def user_genre_prefs(
 
 
 def user_features(
-    df: DataFrame, cols: RatingColumns = RatingColumns(), *, rows: int = HISTORY_ROWS, hot_rows: int = HOT_ROWS
+    df: DataFrame,
+    cols: RatingColumns = RatingColumns(),
+    *,
+    rows: int = HISTORY_ROWS,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """All features of the user's past, for ratings with enough of it.
 
     Every expression shares one window specification and is computed in one
-    projection, so the plan holds one shuffle, one sort and one window.
+    projection, so the plan holds one shuffle, one sort and one window. Rows per
+    user are counted on ``counted``, by default on ``df`` itself.
     """
-    grouped = ordered_groups(df, [cols.user], cols.order, rows, hot_rows=hot_rows)
+    grouped = ordered_groups(df, [cols.user], cols.order, rows, hot_rows=hot_rows, counted=counted)
     w = _past(cols, rows)
     numbers = [c.alias(name) for name, c in _past_numbers(cols, w).items()]
     past = grouped.select(

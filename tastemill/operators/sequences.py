@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.columns import RatingColumns
 from tastemill.functions.scalars import POSITIVE_RATING
 from tastemill.operators.samples import positive_ratings
 from tastemill.operators.skew import (
-    CHUNK,
     HOT_ROWS,
     drop_helper_columns,
+    group_window,
     ordered_groups,
     positions,
     running_ranges,
@@ -61,8 +61,7 @@ def item_steps(
     """Every step from one liked item to the user's next: ``(src, dst)``."""
     liked = positive_ratings(ratings, cols, threshold).select(*cols.all)
     grouped = ordered_groups(liked, [cols.user], cols.order, 1, hot_rows=hot_rows)
-    in_order = Window.partitionBy(cols.user, CHUNK).orderBy(*cols.order)
-    steps = grouped.withColumn("src", F.lag(cols.item).over(in_order))
+    steps = grouped.withColumn("src", F.lag(cols.item).over(group_window([cols.user], cols.order)))
     return drop_helper_columns(steps).select("src", F.col(cols.item).alias("dst")).where(F.col("src").isNotNull())
 
 

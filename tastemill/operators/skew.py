@@ -13,7 +13,7 @@ from functools import reduce
 from operator import add, and_
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,7 @@ SALTS = 64
 CHUNK = "__chunk"
 HALO = "__halo"
 OFFSET = "__offset"
+TIE = "__tie"
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
@@ -108,7 +109,10 @@ def lookup_join(
         return left.join(right, key, how)
 
     marks = _with_broadcast(hot.select(F.col(f"__hot_{key}").alias(key), F.lit(True).alias("__is_hot")))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    # The partition number spreads even exact copies of a row, and a retried task
+    # keeps its number.
+    row_hash = F.xxhash64(*[F.col(c) for c in left.columns], F.spark_partition_id())
+    spread = F.pmod(row_hash, F.lit(salts)).cast("int")
     salted_left = (
         left.join(marks, key, "left")
         .withColumn("__salt", F.when(F.col("__is_hot"), spread).otherwise(F.lit(0)))
@@ -130,25 +134,29 @@ def ordered_groups(
     before: int,
     *,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Prepare ``df`` for windows per ``keys`` in ascending ``order``.
 
-    Adds three columns. ``CHUNK`` joins ``keys`` in the window's partitioning.
-    ``HALO`` marks copied rows, which callers drop after the window; each chunk
-    is given the ``before`` rows that precede it. ``OFFSET`` is the number of
-    rows of the key that come before the chunk's own rows. ``order`` must be a
-    total order within a key.
+    Adds four columns. ``CHUNK`` joins ``keys`` in the window's partitioning and
+    ``TIE`` the end of its order; ``group_window`` does both. ``HALO`` marks
+    copied rows, which callers drop after the window; each chunk is given the
+    ``before`` rows that precede it. ``OFFSET`` is the number of rows of the key
+    that come before the chunk's own rows. ``order`` must be a total order
+    within a key but for exact copies of a row, which ``TIE`` tells apart.
+
+    Rows per key are counted on ``counted``, for when ``df`` adds columns to a
+    table that is cheaper to read.
     """
-    hot = hot_keys(df, keys, hot_rows)
+    whole = {CHUNK: F.lit(-1), HALO: F.lit(False), OFFSET: F.lit(0).cast("long"), TIE: F.lit(0).cast("long")}
+    hot = hot_keys(df if counted is None else counted, keys, hot_rows)
     if hot is None:
-        return df.withColumns({CHUNK: F.lit(-1), HALO: F.lit(False), OFFSET: F.lit(0).cast("long")})
+        return df.withColumns(whole)
 
     ensure_checkpoint_dir(df.sparkSession)
     hot_side = _with_broadcast(hot)
     on_hot = same_keys(df, hot_side, [(k, f"__hot_{k}") for k in keys])
-    cold = df.join(hot_side, on_hot, "left_anti").withColumns(
-        {CHUNK: F.lit(-1), HALO: F.lit(False), OFFSET: F.lit(0).cast("long")}
-    )
+    cold = df.join(hot_side, on_hot, "left_anti").withColumns(whole)
 
     hot_total = hot.agg(F.sum("__n")).first()[0]
     chunks = int(hot_total // hot_rows) + 2
@@ -156,7 +164,8 @@ def ordered_groups(
     # down before anything is derived from them.
     own = (
         df.join(hot_side, on_hot, "left_semi")
-        .repartitionByRange(chunks, *keys, *order)
+        .withColumn(TIE, F.monotonically_increasing_id())
+        .repartitionByRange(chunks, *keys, *order, TIE)
         .withColumn(CHUNK, F.spark_partition_id())
         .checkpoint()
     )
@@ -183,11 +192,11 @@ def ordered_groups(
     on_start = same_keys(own, starts_side, [(k, f"__hot_{k}") for k in keys]) & (own[CHUNK] == starts_side["__of"])
 
     own_rows = own.join(starts_side, on_start).select(
-        *[own[c] for c in df.columns], own[CHUNK], F.lit(False).alias(HALO), OFFSET
+        *[own[c] for c in df.columns], own[CHUNK], F.lit(False).alias(HALO), OFFSET, TIE
     )
     parts = own_rows
     if before > 0:
-        from_end = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in order])
+        from_end = Window.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in [*order, TIE]])
         tail = own.withColumn("__back", F.row_number().over(from_end)).where(F.col("__back") <= before)
         on_tail = same_keys(tail, starts_side, [(k, f"__hot_{k}") for k in keys]) & (
             tail[CHUNK] == starts_side["__of"]
@@ -198,6 +207,7 @@ def ordered_groups(
             tail.join(starts_side, on_tail)
             .select(
                 *[tail[c] for c in df.columns],
+                TIE,
                 (F.col(OFFSET) + F.col("__n") - F.col("__back") + 1).alias("__position"),
                 F.explode("__next").alias("__to"),
             )
@@ -207,22 +217,28 @@ def ordered_groups(
                 F.col("__to.chunk").alias(CHUNK),
                 F.lit(True).alias(HALO),
                 F.col("__to.offset").alias(OFFSET),
+                TIE,
             )
         )
         parts = parts.unionByName(halo)
     return cold.unionByName(parts)
 
 
+def group_window(keys: list[str], order: list[str]) -> WindowSpec:
+    """The window over rows prepared by ``ordered_groups``."""
+    return Window.partitionBy(*keys, CHUNK).orderBy(*order, TIE)
+
+
 def drop_helper_columns(df: DataFrame) -> DataFrame:
     """Remove halo rows and the columns added by ``ordered_groups``."""
-    return df.where(~F.col(HALO)).drop(CHUNK, HALO, OFFSET)
+    return df.where(~F.col(HALO)).drop(CHUNK, HALO, OFFSET, TIE)
 
 
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number each key's rows 1, 2, ... in ascending ``order``."""
     grouped = ordered_groups(df, keys, order, 0, hot_rows=hot_rows)
-    in_chunk = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    return drop_helper_columns(grouped.withColumn(name, F.row_number().over(in_chunk) + F.col(OFFSET)))
+    number = F.row_number().over(group_window(keys, order)) + F.col(OFFSET)
+    return drop_helper_columns(grouped.withColumn(name, number))
 
 
 def running_ranges(

@@ -26,7 +26,7 @@ def model_samples(
     """
     labelled = label_ratings(ratings.select(*cols.all), cols)
     featured = attach_item_features(labelled, items, cols, hot_rows=hot_rows)
-    samples = user_features(featured, cols, rows=rows, hot_rows=hot_rows)
+    samples = user_features(featured, cols, rows=rows, hot_rows=hot_rows, counted=ratings)
     reference_names = {"movieId": cols.item, "userId": cols.user, "rating": cols.rating, "timestamp": cols.time}
     wide = [reference_names.get(c, c) for c in SAMPLE_COLUMNS]
     return samples.select(*wide, *[c for c in cols.ties if c not in wide])

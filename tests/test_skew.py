@@ -44,3 +44,15 @@ def test_running_ranges_tile_the_total(spark):
         ranges = sorted((r.lo, r.hi) for r in found if r.g == g)
         assert ranges[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
         assert {r.total for r in found if r.g == g} == {ranges[-1][1]}
+
+
+def test_exact_copies_are_split_too(spark):
+    from tastemill.operators.skew import HALO, drop_helper_columns, group_window, ordered_groups
+
+    df = spark.range(300).select(F.lit(1).alias("k"), F.lit(5).alias("o"))
+    grouped = ordered_groups(df, ["k"], ["o"], 10, hot_rows=40)
+    w = group_window(["k"], ["o"]).rowsBetween(-10, -1)
+    assert grouped.where(~F.col(HALO)).groupBy("__chunk").count().agg(F.max("count")).first()[0] < 150
+    counts = [r.n for r in drop_helper_columns(grouped.withColumn("n", F.count(F.lit(1)).over(w))).collect()]
+    assert sorted(counts) == list(range(10)) + [10] * 290
+    assert sorted(r.p for r in positions(df, ["k"], ["o"], "p", hot_rows=40).collect()) == list(range(1, 301))
