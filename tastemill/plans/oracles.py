@@ -352,5 +352,14 @@ FROM joined""",
     + "1e-15), 1 - 1e-15))), 6) AS loss, "
     + "round(avg(CASE WHEN label = (CASE WHEN movieAvgRating >= 2.5 THEN 1 ELSE 0 END) THEN 1.0 ELSE 0.0 END), 6) "
     + "AS accuracy FROM r JOIN stats USING (movieId)",
+    "distinct_users": with_(RATINGS) + "SELECT DISTINCT userId FROM r",
+    "numeric_vector": with_(*UP_TO_SAMPLES)
+    + f"SELECT {KEYS}, userId, releaseYear AS x0, movieRatingCount AS x1, movieAvgRating AS x2, "
+    + "movieRatingStddev AS x3, userRatingCount AS x4, userAvgReleaseYear AS x5, userReleaseYearStddev AS x6, "
+    + "userAvgRating AS x7, userRatingStddev AS x8 FROM samples",
+    "pretrained_columns": with_(RATINGS, VECTORS)
+    + f"SELECT {KEYS}, userId, {STORED_VECTOR_SIZE} AS size, "
+    + ", ".join(f"round(coalesce(vector[{i + 1}], 0), 6) AS x{i}" for i in range(4))
+    + " FROM r LEFT JOIN vectors ON item = movieId",
     "first_users": with_(RATINGS) + "SELECT DISTINCT userId FROM r ORDER BY userId LIMIT 3",
 }

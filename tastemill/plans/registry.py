@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.recommendation import ALSModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -368,6 +370,25 @@ def score_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.round("loss", 6).alias("loss"), F.round("accuracy", 6).alias("accuracy"))
 
 
+def distinct_users(spark: SparkSession, folder: str) -> DataFrame:
+    return line_ratings(spark, folder).select("userId").distinct()
+
+
+def numeric_vector(spark: SparkSession, folder: str) -> DataFrame:
+    rows = line_samples(spark, folder)
+    assembled = VectorAssembler(inputCols=ctr.NUMBERS, outputCol="v").transform(rows)
+    values = [vector_to_array("v")[i].alias(f"x{i}") for i in range(len(ctr.NUMBERS))]
+    return assembled.select(*LINE_KEYS, "userId", *values)
+
+
+def pretrained_columns(spark: SparkSession, folder: str) -> DataFrame:
+    ratings = line_ratings(spark, folder).select(*LINE_KEYS, "userId")
+    vectors = item_vectors(spark, folder)
+    rows = emb.attach_vectors(ratings, vectors, "movieId", "itemVector", STORED_VECTOR_SIZE)
+    values = [F.round(F.col("itemVector")[i], 6).alias(f"x{i}") for i in range(4)]
+    return rows.select(*LINE_KEYS, "userId", F.size("itemVector").alias("size"), *values)
+
+
 def first_users(spark: SparkSession, folder: str) -> DataFrame:
     return cf.first_ids(line_ratings(spark, folder), "userId")
 
@@ -375,10 +396,14 @@ def first_users(spark: SparkSession, folder: str) -> DataFrame:
 # Trained models --------------------------------------------------------------
 
 
-def _als(spark: SparkSession, folder: str):
+def _als_rows(spark: SparkSession, folder: str) -> DataFrame:
     ratings = samples.hash_split(line_ratings(spark, folder), LINE_KEYS)
-    prepared = cf.als_input(ratings, keep=("split", "orderKey", "lineNumber", "suppKey"))
-    return cf.fit_als(prepared.where("split = 'train'")), prepared
+    return cf.als_input(ratings, keep=("split", "orderKey", "lineNumber", "suppKey"))
+
+
+def _als(spark: SparkSession, folder: str) -> tuple[ALSModel, DataFrame]:
+    rows = _als_rows(spark, folder)
+    return cf.fit_als(rows.where("split = 'train'")), rows
 
 
 def als_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -417,9 +442,8 @@ def als_item_subset(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def als_cv(spark: SparkSession, folder: str) -> DataFrame:
-    _, ratings = _als(spark, folder)
     keys = ["orderKey", "lineNumber", cf.ITEM, "suppKey"]
-    return cf.cross_validate(ratings.where("split = 'train'"), keys)
+    return cf.cross_validate(_als_rows(spark, folder).where("split = 'train'"), keys)
 
 
 def item2vec_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -538,6 +562,9 @@ QUERIES: dict[str, Query] = {
     "rating_rmse": rating_rmse,
     "score_evaluation": score_evaluation,
     "first_users": first_users,
+    "distinct_users": distinct_users,
+    "numeric_vector": numeric_vector,
+    "pretrained_columns": pretrained_columns,
     "als_scores": als_scores,
     "als_rmse": als_rmse,
     "als_item_factors": als_item_factors,
