@@ -16,6 +16,7 @@ from tastemill.operators import ctr_models as models
 from tastemill.operators import embeddings as emb
 from tastemill.operators import encoders as enc
 from tastemill.operators import history, samples, sequences, snapshots, walks
+from tastemill.operators.neighbours import similar_items_for_all
 from tastemill.plans.jobs import model_samples
 from tastemill.session import ensure_checkpoint_dir, shared_dir
 from tastemill.sources import files
@@ -309,8 +310,7 @@ def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similar_vectors_batch(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = item_vectors(spark, folder)
-    found = emb.similar_items_batch(vectors, vectors)
+    found = similar_items_for_all(item_vectors(spark, folder))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -112,17 +112,3 @@ def test_deepwalk_trains_on_walks(spark):
     model = emb.deepwalk(ratings, walks=50, length=5, iterations=1, size=4)
     found = emb.model_vectors(model).collect()
     assert {len(r.vector) for r in found} == {4} and len(found) == 6
-
-
-def test_batch_search_finds_what_single_searches_find(spark, monkeypatch):
-    rows = [(i, [float((i * j) % 7 - 3) for j in range(1, 5)]) for i in range(40)] + [(99, [0.0] * 4)]
-    vectors = spark.createDataFrame(rows, "item long, vector array<double>").repartition(3)
-    monkeypatch.setattr(emb, "QUERIES_PER_PASS", 9)
-    batch = {}
-    for r in emb.similar_items_batch(vectors, vectors, 5).collect():
-        batch.setdefault(r.query, []).append(round(r.similarity, 9))
-    for item in (1, 5, 17):
-        single = [round(r.similarity, 9) for r in emb.similar_items(vectors, item, 5).collect()]
-        assert sorted(batch[item], reverse=True) == single
-    assert 99 not in batch
-    assert emb.similar_items_batch(vectors, vectors.where("item < 0")).count() == 0
