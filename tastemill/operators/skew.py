@@ -99,7 +99,8 @@ def lookup_join(
 
     A right side measured to be small is broadcast, so ``left`` is not
     shuffled. Otherwise both sides are shuffled; rows of hot keys carry a salt
-    and the matching right rows are repeated once per salt.
+    and the matching right rows are repeated once per salt. Persist a ``right``
+    that is costly to compute: it is measured, then joined.
     """
     if fits_broadcast(right, broadcast_rows):
         return left.join(F.broadcast(right), key, how)

@@ -318,8 +318,9 @@ def dot_crosses(spark: SparkSession, folder: str) -> DataFrame:
     vectors, items = item_vectors(spark, folder), part_items(spark, folder)
     size = STORED_VECTOR_SIZE
     rows = line_samples(spark, folder).select(*LINE_KEYS, "userId", "movieGenre1", "userGenre1")
-    users = emb.user_vectors(line_ratings(spark, folder), vectors, size).withColumnRenamed("userId", "item")
-    genres = ctr.genre_vectors(items, vectors, size)
+    # Each is measured before it is joined, so it is read twice.
+    users = emb.user_vectors(line_ratings(spark, folder), vectors, size).withColumnRenamed("userId", "item").persist()
+    genres = ctr.genre_vectors(items, vectors, size).persist()
     rows = emb.attach_vectors(rows, vectors, "movieId", "itemVector", size)
     rows = emb.attach_vectors(rows, users, "userId", "userVector", size)
     rows = emb.attach_vectors(rows, genres, "movieGenre1", "itemGenreVector", size)

@@ -93,7 +93,8 @@ def read_samples(
     so does the string ``0``, which the training files use for "missing".
     """
     if fmt == "csv":
-        df = _read(spark, path, schema, fmt, mode="DROPMALFORMED")
+        # Without pruning a row is malformed whichever columns are asked for.
+        df = _read(spark, path, schema, fmt, mode="DROPMALFORMED", columnPruning="false")
     else:
         df = _read(spark, path, schema, fmt)
     return training_rows(df)

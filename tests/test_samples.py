@@ -125,6 +125,8 @@ def test_read_samples_fills_and_skips(spark, tmp_path):
     (tmp_path / "s.csv").write_text("movieId,rating,movieGenre1\n1,,0\n2,4.5,\nx,1.0,Drama\n3,0,War\n", "utf-8")
     found = files.read_samples(spark, str(tmp_path / "s.csv"), schema=schema).orderBy("movieId").collect()
     assert [tuple(r) for r in found] == [(1, 0.0, ""), (2, 4.5, ""), (3, 0.0, "War")]
+    again = files.read_samples(spark, str(tmp_path / "s.csv"), schema=schema)
+    assert again.count() == 3 and len(again.select("rating").collect()) == 3
 
 
 def test_write_split_samples(spark, tmp_path):
