@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,12 +95,21 @@ def read_samples(
     A missing number becomes 0. A missing string becomes the empty string, and
     so does the string ``0``, which the training files use for "missing".
     """
-    if fmt == "csv":
-        # Without pruning a row is malformed whichever columns are asked for.
-        df = _read(spark, path, schema, fmt, mode="DROPMALFORMED", columnPruning="false")
-    else:
-        df = _read(spark, path, schema, fmt)
-    return training_rows(df)
+    if fmt != "csv":
+        return training_rows(_read(spark, path, schema, fmt))
+    # Spark judges a CSV row by the columns a query asks for. Reading text and
+    # testing every column here makes the same rows malformed for every query.
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = _read(spark, path, texts, fmt, mode="DROPMALFORMED")
+    valid = [F.col(f.name).isNull() | _readable(f) for f in schema.fields]
+    typed = [F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields]
+    return training_rows(raw.where(reduce(and_, valid)).select(*typed))
+
+
+def _readable(f: T.StructField) -> Column:
+    if isinstance(f.dataType, T.StringType):
+        return F.length(f.name) >= 0
+    return F.col(f.name).try_cast(f.dataType).isNotNull()
 
 
 def training_rows(df: DataFrame) -> DataFrame:
