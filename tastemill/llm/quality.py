@@ -259,11 +259,11 @@ def good_documents(
     fitted = _fit(documents, fit_rows, id_column)
     if fitted is None:
         return documents
-    score = _scorer(documents, *fitted[2:])
+    score, names = _scorer(documents, *fitted[2:]), documents.columns
 
     def make(block: pa.RecordBatch) -> dict[str, object]:
         good = pa.array([score(t)[1] >= keep_from for t in block.column("text").to_pylist()], pa.bool_())
         kept = block.filter(good)
-        return {name: kept.column(name) for name in documents.columns}
+        return {name: kept.column(name) for name in names}
 
     return map_text(documents, documents.columns, documents.schema, make)
