@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tastemill.session import ensure_checkpoint_dir
+from tastemill.session import ensure_checkpoint_dir, shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -30,6 +31,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``saved``, for large tables: compressed Parquet in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most_chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into blocks whose texts hold about ``most_chars`` bytes."""
     for batch in batches:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm.common import map_text, saved
+from tastemill.llm.common import map_text, written
 
 SPAN = 35
 K = 8
@@ -130,45 +130,14 @@ def edges(documents: DataFrame, span: int, k: int) -> DataFrame:
     return map_text(documents, ["key", "text"], "key bigint, start int, size int, anchor bigint, content bigint", make)
 
 
-def compared_windows(wanted: DataFrame, span: int) -> DataFrame:
-    """The windows of edges at branches: ``wanted`` has key, text and ``places`` (anchor, start, size)."""
-    hasher = Hasher()
-
-    def make(block: pa.RecordBatch) -> dict[str, object]:
-        out: dict[str, list] = {"key": [], "place": [], "anchor": [], "window": []}
-        words = [words_of(t) for t in block.column("text").to_pylist()]
-        for key, text, places in zip(block.column("key").to_pylist(), words, block.column("places").to_pylist()):
-            whole = sequence_hashes(hasher.words([text]), span).view(np.int64)
-            for place in places:
-                start, size = place["start"], place["size"]
-                out["key"] += [key] * size
-                out["place"] += range(start, start + size)
-                out["anchor"] += [place["anchor"]] * size
-                out["window"] += whole[start : start + size].tolist()
-        return out
-
-    schema = "key bigint, place int, anchor bigint, window bigint"
-    return map_text(wanted, ["key", "text", "places"], schema, make)
-
-
-def repeated_ranges(texts: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """Windows that stand elsewhere too, of texts with a unique ``key``: rows of key, start, size."""
-    found = saved(edges(texts, span, k))
-    kinds = found.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one")
-    )
-    # Branches: several kinds of edges at one anchor. Kinds met once at an anchor met once are left out.
-    anchors = kinds.groupBy("anchor").agg(F.sum("n").alias("met"), F.count(F.lit(1)).alias("kinds")).where("met > 1")
-    kinds = saved(kinds.join(anchors, "anchor").select("anchor", "content", "n", "one", "kinds"))
-    compact = found.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
-    compact = compact.select("key", "start", "size")
-
-    branching = kinds.where("kinds > 1").select("one.key", F.struct("anchor", "one.start", "one.size").alias("place"), "n")
-    places = branching.groupBy("key").agg(F.collect_list("place").alias("places"))
-    windows = saved(compared_windows(texts.join(places, "key"), span))
-    again = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    single = windows.join(again, ["anchor", "window"], "left_semi").select("key", F.col("place").alias("start"), F.lit(1).alias("size"))
-    return compact.unionByName(single)
+def _kept(words: list[bytes], ranges: list[tuple[int, int]], span: int) -> tuple[int, bytes]:
+    """How many words the windows of ``ranges`` (start, size) cover, and the others joined."""
+    steps = np.zeros(len(words) + 1, np.int64)
+    for start, size in ranges:
+        steps[start] += 1
+        steps[start + size - 1 + span] -= 1
+    covered = np.cumsum(steps[:-1]) > 0
+    return int(covered.sum()), b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
 
 
 def without_repeats(
@@ -182,48 +151,85 @@ def without_repeats(
     (the kept words, joined by one space). A null or blank text has no words and
     keeps the empty string. Repeated rows stay, and repeat each other; null ids
     stay null; an empty table gives an empty one; other columns are not read.
+
+    Only edges and the texts with branches that are still undecided are written
+    between the steps; every text is shuffled once.
     """
-    # Rows of one id and text are told apart by number, so that they repeat each other.
-    keyed = documents.select(id_column, "text", F.xxhash64(id_column, "text").alias("key"))
-    copies = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = saved(copies)
-    texts = keyed.select("key", "text")
-    if not copies.isEmpty():
-        texts = texts.dropDuplicates(["key"])
-    ranges = repeated_ranges(texts, span, k)
-    if not copies.isEmpty():
-        # All windows of a repeated row repeat.
-        ranges = ranges.unionByName(
-            copies.select("key", F.lit(0).alias("start"), F.lit(2_147_483_647).alias("size"))
-        )
-    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("ranges"))
-    joined = keyed.join(ranges, "key", "left")
+    keyed = documents.select(F.col(id_column).alias("id"), "text", F.xxhash64(id_column, "text").alias("key"))
+    found = written(edges(keyed, span, k))
+    met = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = written(found.join(met, "anchor", "left_semi"))
+    kinds = again.groupBy("anchor", "content").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "start", "size")).alias("one")
+    )
+    branches = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    compact = again.join(kinds.where("n > 1").select("anchor", "content"), ["anchor", "content"], "left_semi")
+    # Of each kind of edge at a branch, one is compared; the windows of those met once are undecided.
+    compared = kinds.join(branches, "anchor", "left_semi").select("one.key", "anchor", "one.start", "one.size", "n")
+    parts = compact.select("key", F.struct("start", "size", F.lit(None).cast("bigint").alias("anchor"), F.lit(False).alias("open")).alias("part"))
+    parts = parts.unionByName(
+        compared.select("key", F.struct("start", "size", "anchor", (F.col("n") == 1).alias("open")).alias("part"))
+    )
+    parts = parts.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    hasher = Hasher()
 
-    def make(block: pa.RecordBatch) -> dict[str, object]:
-        n_words, n_removed, digests, kept_texts = [], [], [], []
-        for text, ranges in zip(block.column("text").to_pylist(), block.column("ranges").to_pylist()):
+    def judge(block: pa.RecordBatch) -> dict[str, object]:
+        """Final rows of texts without undecided windows; the others wait, with their windows."""
+        out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept", "rest", "ranges", "windows")}
+        for text, parts in zip(block.column("text").to_pylist(), block.column("parts").to_pylist()):
             words = words_of(text)
-            removed = 0
-            if ranges:
-                steps = np.zeros(len(words) + 1, np.int64)
-                for r in ranges:
-                    last = min(r["start"] + r["size"], len(words) - span + 1)
-                    if last > r["start"]:
-                        steps[r["start"]] += 1
-                        steps[last - 1 + span] -= 1
-                covered = np.cumsum(steps[:-1]) > 0
-                removed = int(covered.sum())
-                kept = b" ".join([w for w, c in zip(words, covered.tolist()) if not c])
-            else:
-                kept = b" ".join(words)
-            n_words.append(len(words))
-            n_removed.append(removed)
-            digests.append(hashlib.sha256(kept).hexdigest())
-            if keep_text:
-                kept_texts.append(kept.decode())
-        made = {id_column: block.column(id_column), "n_words": n_words, "n_removed": n_removed, "kept_sha256": digests}
-        return made | ({"kept": kept_texts} if keep_text else {})
+            compact, windows, waits = [], [], False
+            at_branches = [p for p in parts or () if p["anchor"] is not None]
+            if at_branches:
+                whole = sequence_hashes(hasher.words([words]), span).view(np.int64)
+                for p in at_branches:
+                    waits |= p["open"]
+                    places = range(p["start"], p["start"] + p["size"])
+                    windows += [(p["anchor"], whole[i], i) for i in places]
+            compact = [(p["start"], p["size"]) for p in parts or () if p["anchor"] is None]
+            removed, kept = _kept(words, compact, span) if compact and not waits else (0, b" ".join(words))
+            out["n_words"].append(len(words))
+            out["n_removed"].append(removed)
+            out["kept"].append(None if waits else kept.decode() if keep_text else hashlib.sha256(kept).hexdigest())
+            out["rest"].append(text if waits else None)
+            out["ranges"].append(compact if waits else None)
+            out["windows"].append(windows)
+        return out | {"id": block.column("id"), "key": block.column("key")}
 
     kind = documents.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text
-    return map_text(joined, [id_column, "text", "ranges"], schema, make)
+    judged = written(
+        map_text(
+            keyed.join(parts, "key", "left"),
+            ["id", "key", "text", "parts"],
+            f"id {kind}, key bigint, n_words bigint, n_removed bigint, kept string, rest string, "
+            "ranges array<struct<start:int,size:int>>, windows array<struct<anchor:bigint,window:bigint,place:int>>",
+            judge,
+        )
+    )
+    windows = judged.select("key", F.explode("windows").alias("w")).select("key", "w.*")
+    twice = windows.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    places = windows.join(twice, ["anchor", "window"], "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
+    waiting = judged.where("kept is null").select("id", "key", F.col("rest").alias("text"), "ranges").join(places, "key", "left")
+
+    def finish(block: pa.RecordBatch) -> dict[str, object]:
+        out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept")}
+        columns = [block.column(c).to_pylist() for c in ("text", "ranges", "places")]
+        for text, ranges, places in zip(*columns):
+            words = words_of(text)
+            covered = [(r["start"], r["size"]) for r in ranges] + [(p, 1) for p in places or ()]
+            removed, kept = _kept(words, covered, span)
+            out["n_words"].append(len(words))
+            out["n_removed"].append(removed)
+            out["kept"].append(kept.decode() if keep_text else hashlib.sha256(kept).hexdigest())
+        return out | {"id": block.column("id")}
+
+    ended = map_text(
+        waiting,
+        ["id", "text", "ranges", "places"],
+        f"id {kind}, n_words bigint, n_removed bigint, kept string",
+        finish,
+    )
+    rows = judged.where("kept is not null").select(*ended.columns).unionByName(ended)
+    digest = F.sha2("kept", 256) if keep_text else F.col("kept")
+    columns = [F.col("id").alias(id_column), "n_words", "n_removed", digest.alias("kept_sha256")]
+    return rows.select(*columns, *(["kept"] if keep_text else []))
