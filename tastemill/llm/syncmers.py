@@ -102,7 +102,7 @@ def edited_fingerprints(documents: DataFrame, *, id_column: str = "doc_id") -> D
     The edited text has its last half (rounded down, in code points) replaced by
     as many of the first code points of the next document's text, or all of
     them. Columns: the id, ``n_chars``, ``edited_sha256``, ``fingerprint``,
-    ``edited_fingerprint``, ``near_edited`` and ``near_next``. A null text counts
+    ``edited_fingerprint``, ``near_edited``, ``near_next`` and ``next_id``. A null text counts
     as empty. The next document is the next lower id; null ids come last and the
     first follows the last; rows of one id are ordered by a hash of their text;
     a repeated row shares the outcome of its copy. A single document is followed
@@ -119,8 +119,12 @@ def edited_fingerprints(documents: DataFrame, *, id_column: str = "doc_id") -> D
         if not lengths.groupBy("key").count().where("count > 1").isEmpty()
         else rows
     )
-    heads = heads.select("key", "text").join(chain, "key").select(
-        F.col("wanted_by").alias("key"), F.substring("text", F.lit(1), F.col("half")).alias("head"), sketch(F.col("text")).alias("next_sketch")
+    # Both joins read the same columns, so that the texts are shuffled once for both.
+    heads = heads.join(chain, "key").select(
+        F.col("wanted_by").alias("key"),
+        F.col(id_column).alias("next_id"),
+        F.substring("text", F.lit(1), F.col("half")).alias("head"),
+        sketch(F.col("text")).alias("next_sketch"),
     )
     joined = rows.join(heads, "key")
     n = F.length("text")
@@ -132,6 +136,7 @@ def edited_fingerprints(documents: DataFrame, *, id_column: str = "doc_id") -> D
         sketch(F.col("text")).alias("own"),
         sketch(edited).alias("edited"),
         "next_sketch",
+        "next_id",
     )
     return found.select(
         id_column,
@@ -141,4 +146,5 @@ def edited_fingerprints(documents: DataFrame, *, id_column: str = "doc_id") -> D
         as_string(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        "next_id",
     )
