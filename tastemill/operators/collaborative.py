@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.columns import RatingColumns
 from tastemill.functions.scalars import draw
+from tastemill.operators.encoders import label_index
+from tastemill.operators.skew import HOT_ROWS, lookup_join
 from tastemill.session import ensure_checkpoint_dir
 
 # Fixed values.
@@ -23,15 +25,48 @@ USER, ITEM, RATING = "userIdInt", "movieIdInt", "ratingFloat"
 
 
 def als_input(ratings: DataFrame, cols: RatingColumns = RatingColumns(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ratings with the integer ids ALS needs."""
+    """Ratings with the integer ids ALS needs.
+
+    Rows whose ids or rating are missing or no numbers are left out. An id that
+    is a number beyond 32 bits is an error: number such ids with ``dense_ids``.
+    """
+
+    def narrow(column: str) -> Column:
+        wide = F.col(column).try_cast("decimal(38,0)")
+        message = F.concat(F.lit(f"{column} beyond 32 bits, use dense_ids: "), wide.cast("string"))
+        return F.when(wide.between(-(2**31), 2**31 - 1), wide.cast("int")).when(
+            wide.isNotNull(), F.raise_error(message).cast("int")
+        )
+
     return ratings.select(
-        F.col(cols.user).try_cast("int").alias(USER),
-        F.col(cols.item).try_cast("int").alias(ITEM),
+        narrow(cols.user).alias(USER),
+        narrow(cols.item).alias(ITEM),
         F.col(cols.rating).try_cast("double").alias(RATING),
         *keep,
     ).dropna(subset=[USER, ITEM, RATING])
 
 
+def dense_ids(ratings: DataFrame, column: str, *, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Ratings with ``column`` numbered 0, 1, ... by falling frequency, and the table ``(original, number)``.
+
+    For ids beyond 32 bits, or that are no numbers. The table is checkpointed,
+    so that the numbers stay what they are.
+    """
+    ensure_checkpoint_dir(ratings.sparkSession)
+    index = label_index(ratings, column, "__number", hot_rows=hot_rows).select(column, "__number").checkpoint()
+    numbered = lookup_join(ratings, index, column, "inner", hot_rows=hot_rows)
+    columns = [F.col("__number").alias(column) if c == column else F.col(c) for c in ratings.columns]
+    table = index.select(F.col(column).alias("original"), F.col("__number").alias("number"))
+    return numbered.select(*columns), table
+
+
+def original_ids(df: DataFrame, column: str, table: DataFrame) -> DataFrame:
+    """Put the original ids of ``dense_ids`` back in the place of numbers."""
+    index = table.select(F.col("number").alias(column), F.col("original").alias("__original"))
+    columns = [F.col("__original").alias(column) if c == column else F.col(c) for c in df.columns]
+    return lookup_join(df, index, column, "inner").select(*columns)
+
+
 def fit_als(
     ratings: DataFrame,
     *,

@@ -15,8 +15,10 @@ from pyspark.ml.feature import (
     StringIndexerModel,
     VectorAssembler,
 )
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tastemill.columns import RatingColumns
 from tastemill.functions.scalars import genre_list
@@ -51,7 +53,7 @@ def label_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def _few_labels(counts: DataFrame) -> bool:
-    return counts.limit(MODEL_LABELS + 1).count() <= MODEL_LABELS
+    return counts.count() <= MODEL_LABELS
 
 
 def fit_string_index(df: DataFrame, column: str, output: str) -> StringIndexerModel:
@@ -60,19 +62,19 @@ def fit_string_index(df: DataFrame, column: str, output: str) -> StringIndexerMo
 
 
 def label_index(df: DataFrame, column: str, output: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The table ``(label, labelCount, index)``, ranked without the driver."""
-    counts = label_counts(df, column).withColumns({"__all": F.lit(0), "__rarity": -F.col("labelCount")})
-    ranked = positions(counts, ["__all"], ["__rarity", column], "__rank", hot_rows=hot_rows)
+    """The table ``(label, labelCount, index)``, ranked without the driver.
+
+    Labels of one count are ordered by their text, as ``StringIndexer`` does.
+    """
+    counts = label_counts(df, column).withColumns(
+        {"__all": F.lit(0), "__rarity": -F.col("labelCount"), "__text": F.col(column).cast("string")}
+    )
+    ranked = positions(counts, ["__all"], ["__rarity", "__text"], "__rank", hot_rows=hot_rows)
     return ranked.select(column, "labelCount", (F.col("__rank") - 1).cast("int").alias(output))
 
 
 def string_index(df: DataFrame, column: str, output: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add each label's index, 0 for the most frequent label."""
-    counts = label_counts(df, column).persist(StorageLevel.MEMORY_AND_DISK)
-    if _few_labels(counts):
-        model = fit_string_index(df, column, "__index").setHandleInvalid("error")
-        out = model.transform(df.where(F.col(column).isNotNull()))
-        return out.withColumn(output, F.col("__index").cast("int")).drop("__index")
+    """Add each label's index, 0 for the most frequent label; rows without a label are left out."""
     index = label_index(df, column, output, hot_rows=hot_rows).drop("labelCount")
     return lookup_join(df, index, column, "inner", hot_rows=hot_rows)
 
@@ -82,11 +84,12 @@ def multi_hot(items: DataFrame, key: str = "movieId", genres: str = "genres") ->
 
     An item is one row, so encoding it needs neither an explode nor a shuffle:
     the genre labels, counted once, become a vocabulary applied row by row. The
-    vocabulary is part of the fitted model, hence the check of its size.
+    vocabulary is part of the fitted model; one of more than ``MODEL_LABELS``
+    labels is joined in Spark instead, with the same outcome.
     """
     exploded = explode_genres(items.select(key, genres), genres)
     if not _few_labels(label_counts(exploded, "genre")):
-        raise ValueError(f"more than {MODEL_LABELS} genres: use string_index on explode_genres instead")
+        return _joined_multi_hot(exploded, key)
     labels = list(fit_string_index(exploded, "genre", "__index").labels)
     vectorizer = CountVectorizerModel.from_vocabulary(labels, "__list", "vector").setBinary(True)
     vocabulary = F.array(*[F.lit(x) for x in labels])
@@ -103,6 +106,24 @@ def multi_hot(items: DataFrame, key: str = "movieId", genres: str = "genres") ->
     )
 
 
+def _joined_multi_hot(exploded: DataFrame, key: str) -> DataFrame:
+    """``multi_hot`` of exploded items without a model on the driver."""
+    index = label_index(exploded, "genre", "__slot").drop("labelCount").persist(StorageLevel.MEMORY_AND_DISK)
+    size = index.count()
+    slots = lookup_join(exploded.select(key, "genre"), index, "genre", "inner").groupBy(key)
+    rows = slots.agg(F.array_sort(F.collect_set("__slot")).alias("genreIndexes")).withColumn("indexSize", F.lit(size))
+    # A vector's stored form is a struct; reading it back from JSON makes the vector.
+    stored = F.struct(
+        F.lit(0).alias("type"),
+        F.col("indexSize").alias("size"),
+        F.col("genreIndexes").alias("indices"),
+        F.transform("genreIndexes", lambda _: F.lit(1.0)).alias("values"),
+    )
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    vector = F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"]
+    return rows.select(key, "genreIndexes", "indexSize", vector.alias("vector"))
+
+
 def to_vector(df: DataFrame, column: str, output: str) -> DataFrame:
     """A number as a vector of length one."""
     return VectorAssembler(inputCols=[column], outputCol=output, handleInvalid="keep").transform(df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.plans.registry import ID_BUCKETS, PART_GENRES, QUERY_ITEM, STORED_VECTOR_SIZE
+from tastemill.plans.registry import PART_GENRES, QUERY_ITEM, STORED_VECTOR_SIZE
 
 LINE_ORDER = "timestamp, orderKey, lineNumber, movieId, suppKey, quantity, price"
 KEYS = "orderKey, lineNumber, movieId, suppKey"
@@ -343,7 +343,7 @@ FROM joined""",
     + ", ".join(f"{slots(f'movieGenre{i}')} AS movieGenre{i}Slots" for i in range(1, 4))
     + " FROM item_info",
     "id_bucket": with_(RATINGS)
-    + f"SELECT {KEYS}, CASE WHEN movieId BETWEEN 0 AND {ID_BUCKETS - 1} THEN movieId ELSE 0 END AS bucket FROM r",
+    + f"SELECT {KEYS}, movieId AS bucket FROM r",
     "rating_rmse": with_(RATINGS, STATS)
     + "SELECT round(sqrt(avg((movieAvgRating - rating) * (movieAvgRating - rating))), 6) AS rmse "
     + "FROM r JOIN stats USING (movieId)",

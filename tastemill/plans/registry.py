@@ -58,7 +58,6 @@ PART_GENRES = [
 # What identifies an order line without its floating-point columns.
 LINE_KEYS = ["orderKey", "lineNumber", "movieId", "suppKey"]
 STORED_VECTOR_SIZE = 64
-ID_BUCKETS = 1500
 QUERY_ITEM = 158
 
 
@@ -354,8 +353,10 @@ def text_of_vector(vector: str) -> Column:
 
 
 def id_bucket(spark: SparkSession, folder: str) -> DataFrame:
-    bucket = ctr.id_bucket("movieId", ID_BUCKETS, default=0).alias("bucket")
-    return line_ratings(spark, folder).select(*LINE_KEYS, bucket)
+    ratings = line_ratings(spark, folder)
+    largest = ratings.agg(F.max("movieId")).first()[0]
+    bucket = ctr.id_bucket("movieId", (largest or 0) + 1).alias("bucket")
+    return ratings.select(*LINE_KEYS, bucket)
 
 
 def rating_rmse(spark: SparkSession, folder: str) -> DataFrame:

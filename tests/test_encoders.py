@@ -80,3 +80,15 @@ def test_genre_vectors_are_means(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 4.0])], "item long, vector array<double>")
     found = {r.item: r.vector for r in ctr.genre_vectors(items, vectors, 2).collect()}
     assert found == {"A": [0.5, 2.0], "B": [1.0, 0.0]}
+
+
+def test_ties_of_numbers_are_ordered_as_text(spark):
+    df = spark.createDataFrame([(i,) for i in (2, 9, 10, 100)], "k long")
+    assert {r.k: r.i for r in enc.string_index(df, "k", "i").collect()} == {10: 0, 100: 1, 2: 2, 9: 3}
+
+
+def test_multi_hot_beyond_the_model(spark, monkeypatch):
+    items = spark.createDataFrame([(1, "b|a"), (2, "a"), (3, "c|a|b"), (4, "a|a")], "movieId long, genres string")
+    few = sorted(map(str, enc.multi_hot(items).collect()))
+    monkeypatch.setattr(enc, "MODEL_LABELS", 2)
+    assert sorted(map(str, enc.multi_hot(items).collect())) == few

@@ -85,3 +85,20 @@ def test_click_models_score_every_test_row(spark, folder, name):
     assert scored.count() == test.count()
     assert scored.where("score < 0 OR score > 1 OR score IS NULL").isEmpty()
     assert math.isfinite(models.evaluate(scored)["loss"])
+
+
+def test_ids_beyond_32_bits_are_kept(spark):
+    far = 2**40
+    rows = [(far + u, far + i, float((u + i) % 5), u) for u in range(6) for i in range(5)]
+    ratings = spark.createDataFrame(rows, "userId long, movieId long, rating double, timestamp long")
+    with pytest.raises(Exception, match="beyond 32 bits"):
+        cf.als_input(ratings).collect()
+    numbered, users = cf.dense_ids(ratings, "userId")
+    numbered, items = cf.dense_ids(numbered, "movieId")
+    data = cf.als_input(numbered)
+    assert data.count() == len(rows)
+    model = cf.fit_als(data, rank=2, iterations=2)
+    top = cf.ranked(cf.recommend_items(model, 2))
+    found = cf.original_ids(cf.original_ids(top, "id", users), "recommended", items).collect()
+    assert {r.id for r in found} == {r[0] for r in rows} and len(found) == 12
+    assert {r.recommended for r in found} <= {r[1] for r in rows}
