@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -38,13 +39,16 @@ def fit_item2vec(
     Word2Vec trains in one task unless told otherwise. The number of tasks here
     grows with the number of sequences. Sequences are sorted by their other
     columns, which identify them, so that the same data is trained on in the
-    same order.
+    same order. They are kept while they are counted, sorted and trained on.
     """
+    own = not sequences.is_cached
+    if own:
+        sequences = sequences.persist(StorageLevel.MEMORY_AND_DISK)
     if partitions is None:
         partitions = sequences.count() // SEQUENCES_PER_TASK + 1
     ids = [c for c in sequences.columns if c != items]
     words = sequences.orderBy(*ids) if ids else sequences
-    return Word2Vec(
+    model = Word2Vec(
         inputCol="words",
         outputCol="vector",
         vectorSize=size,
@@ -54,6 +58,9 @@ def fit_item2vec(
         numPartitions=partitions,
         seed=seed,
     ).fit(words.select(F.col(items).cast("array<string>").alias("words")))
+    if own:
+        sequences.unpersist()
+    return model
 
 
 def model_vectors(model: Word2VecModel, item_type: str = "long") -> DataFrame:
