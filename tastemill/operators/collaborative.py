@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
@@ -21,6 +24,9 @@ TOP_K = 10
 FOLDS = 10
 SUBSET_SIZE = 3
 
+# Models that cross-validation fits side by side.
+MODELS_AT_ONCE = 4
+
 USER, ITEM, RATING = "userIdInt", "movieIdInt", "ratingFloat"
 
 
@@ -145,20 +151,39 @@ def ranked(recommendations: DataFrame) -> DataFrame:
 
 
 def cross_validate(
-    ratings: DataFrame, keys: list[str], *, folds: int = FOLDS, **als_options
+    ratings: DataFrame,
+    keys: list[str],
+    *,
+    folds: int = FOLDS,
+    grid: Sequence[dict] = ({},),
+    at_once: int = MODELS_AT_ONCE,
+    **als_options,
 ) -> DataFrame:
-    """Error of ALS on each of ``folds`` held-out parts: ``(fold, rmse)``.
+    """Error of ALS on each of ``folds`` held-out parts: ``(setting, fold, rmse)``.
 
-    ``keys`` identify a row and decide its fold by hash. A fold drawn with
-    ``rand`` could change between the jobs of one fit when a lost task is redone
-    in another row order.
+    ``setting`` is the place in ``grid``, whose members are options of
+    ``fit_als``. ``keys`` identify a row and decide its fold by hash. A fold
+    drawn with ``rand`` could change between the jobs of one fit when a lost
+    task is redone in another row order.
     """
     folded = ratings.withColumn("__fold", (draw(*[F.col(k) for k in keys]) % folds).cast("int")).persist(
         StorageLevel.MEMORY_AND_DISK
     )
-    errors = []
-    for fold in range(folds):
-        model = fit_als(folded.where(F.col("__fold") != fold), **als_options)
-        errors.append((fold, float(rmse(model.transform(folded.where(F.col("__fold") == fold))))))
+
+    def error(setting: int, fold: int) -> tuple[int, int, float]:
+        model = fit_als(folded.where(F.col("__fold") != fold), **{**als_options, **grid[setting]})
+        return setting, fold, float(rmse(model.transform(folded.where(F.col("__fold") == fold))))
+
+    fit = inheritable_thread_target(ratings.sparkSession)(error)
+    with ThreadPoolExecutor(at_once) as pool:
+        runs = [pool.submit(fit, setting, fold) for setting in range(len(grid)) for fold in range(folds)]
+        errors = [run.result() for run in runs]
     folded.unpersist()
-    return ratings.sparkSession.createDataFrame(errors, "fold int, rmse double")
+    return ratings.sparkSession.createDataFrame(errors, "setting int, fold int, rmse double")
+
+
+def fit_best(ratings: DataFrame, errors: DataFrame, grid: Sequence[dict], **als_options) -> ALSModel:
+    """ALS on all rows with the setting whose mean error is the least, the first one among equals."""
+    means = errors.groupBy("setting").agg(F.avg("rmse").alias("error"))
+    best = means.orderBy("error", "setting").first()["setting"]
+    return fit_als(ratings, **{**als_options, **grid[best]})

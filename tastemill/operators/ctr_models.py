@@ -44,6 +44,8 @@ FM_FACTORS = 10
 
 # More slots than movie and user ids together, so few ids share one.
 FIRST_ORDER_SLOTS = 1 << 18
+# Hashed ids in the factorization machine, whose gradient is dense in them.
+PAIR_SLOTS = 1 << 10
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -209,18 +211,21 @@ def fit_deep_fm(
     vocabulary: list[str] = GENRES,
     *,
     first_order_slots: int = FIRST_ORDER_SLOTS,
+    pair_slots: int = PAIR_SLOTS,
     epochs: int = EPOCHS,
     seed: int = 42,
     blend_percent: int = 20,
 ) -> CtrModel:
     """First-order indicators, dot crosses and a deep part into one output layer.
 
-    The output layer is a logistic regression over hashed first-order terms, so
-    its size is set by ``first_order_slots`` and not by the number of ids. A
-    factorization machine adds pairwise terms of genres, crosses and numbers;
-    Spark's builds a dense gradient per row, so the id indicators stay out of
-    it. As in ``fit_wide_deep`` the output layer is fitted on rows that the
-    parts below it have not seen.
+    First-order terms of ids and genres are hashed into ``first_order_slots``,
+    so their number does not grow with that of the ids. They are fitted with the
+    other parts below the output layer, and the output layer, fitted as in
+    ``fit_wide_deep`` on rows that those parts have not seen, has such terms of
+    its own: no training row is without a say in the weights of its ids. A
+    factorization machine adds pairwise terms of ids, genres, crosses and
+    numbers. Spark's builds a dense gradient per row, so ids enter it through
+    ``pair_slots`` hashed slots.
     """
     if vectors.genres is None:
         raise ValueError("dot crosses need genre vectors")
@@ -233,8 +238,11 @@ def fit_deep_fm(
     def crossed(rows: DataFrame) -> DataFrame:
         out = genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
         out = attach_vectors(out, vectors.genres, genres[0], "itemGenreArray", vectors.size)
-        return attach_vectors(out, vectors.genres, genres[1], "userGenreArray", vectors.size).withColumns(crosses)
+        out = attach_vectors(out, vectors.genres, genres[1], "userGenreArray", vectors.size).withColumns(crosses)
+        return pair_ids.transform(out)
 
+    ids = ["movieId", "userId"]
+    pair_ids = FeatureHasher(inputCols=ids, categoricalCols=ids, outputCol="idSlots", numFeatures=pair_slots)
     own = crossed(own_rows).persist(StorageLevel.MEMORY_AND_DISK)
     machine = FMClassifier(
         factorSize=FM_FACTORS,
@@ -245,7 +253,23 @@ def fit_deep_fm(
         rawPredictionCol="pairsRaw",
         predictionCol="pairsClass",
     )
-    pair_model = _fit(own, [*crosses, *NUMBERS], genre_slots, machine)
+    pair_model = _fit(own, [*crosses, *NUMBERS], [*genre_slots, "idSlots"], machine)
+    first_order = Pipeline(
+        stages=[
+            FeatureHasher(
+                inputCols=[*ids, *genres], categoricalCols=ids, outputCol="features", numFeatures=first_order_slots
+            ),
+            LogisticRegression(
+                featuresCol="features",
+                labelCol="label",
+                maxIter=epochs,
+                regParam=0.01,
+                probabilityCol="first",
+                rawPredictionCol="firstRaw",
+                predictionCol="firstClass",
+            ),
+        ]
+    ).fit(own)
     deep_inputs = ["itemVector", "userVector", *NUMBERS], [f"{c}IndexVec" for c in GENRE_COLUMNS]
     deep_model = _fit(own, *deep_inputs, _network(HIDDEN, epochs, seed, "deep"))
     own.unpersist()
@@ -253,13 +277,14 @@ def fit_deep_fm(
     def prepare(rows: DataFrame) -> DataFrame:
         out = pair_model.transform(crossed(rows)).drop("dense", "scaled", "features")
         out = deep_model.transform(out).drop("dense", "scaled", "features")
-        return out.withColumns({"pairsScore": _like("pairs"), "deepScore": _like("deep")})
+        out = first_order.transform(out).drop("features")
+        return out.withColumns({f"{part}Score": _like(part) for part in parts})
 
-    ids = ["movieId", "userId"]
+    parts = ["first", "pairs", "deep"]
     output = Pipeline(
         stages=[
             FeatureHasher(
-                inputCols=[*ids, *genres, *crosses, "pairsScore", "deepScore"],
+                inputCols=[*ids, *genres, *crosses, *[f"{part}Score" for part in parts]],
                 categoricalCols=ids,
                 outputCol="features",
                 numFeatures=first_order_slots,

@@ -19,6 +19,7 @@ VECTOR_SIZE = 10
 WINDOW_SIZE = 5
 ITERATIONS = 10
 SIMILAR_ITEMS = 20
+LEAST_COUNT = 5
 
 # Sequences trained on by one Word2Vec task in one pass.
 SEQUENCES_PER_TASK = 100_000
@@ -33,9 +34,12 @@ def fit_item2vec(
     iterations: int = ITERATIONS,
     seed: int = 42,
     partitions: int | None = None,
+    least: int = LEAST_COUNT,
 ) -> Word2VecModel:
     """Train item vectors on item sequences.
 
+    Items that occur fewer than ``least`` times get no vector.
+
     Word2Vec trains in one task unless told otherwise. The number of tasks here
     grows with the number of sequences. Sequences are sorted by their other
     columns, which identify them, so that the same data is trained on in the
@@ -57,6 +61,7 @@ def fit_item2vec(
         maxSentenceLength=SEGMENT_ITEMS,
         numPartitions=partitions,
         seed=seed,
+        minCount=least,
     ).fit(words.select(F.col(items).cast("array<string>").alias("words")))
     if own:
         sequences.unpersist()
@@ -80,12 +85,22 @@ def deepwalk(
     cols: RatingColumns = RatingColumns(),
     *,
     walks: int = WALKS,
+    walks_per_item: int | None = None,
     length: int = WALK_LENGTH,
     **options,
 ) -> Word2VecModel:
-    """Item vectors from random walks over the transition graph."""
-    paths = walk_paths(item_pairs(ratings, cols), walks=walks, length=length)
-    return fit_item2vec(paths, "path", **options)
+    """Item vectors from random walks over the transition graph.
+
+    With ``walks_per_item`` the number of walks grows with the items that a walk
+    can start from, and ``walks`` is not used.
+    """
+    pairs = item_pairs(ratings, cols)
+    if walks_per_item is not None:
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+        walks = walks_per_item * pairs.select("src").distinct().count()
+    model = fit_item2vec(walk_paths(pairs, walks=walks, length=length), "path", **options)
+    pairs.unpersist()
+    return model
 
 
 def attach_vectors(

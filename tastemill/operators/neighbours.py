@@ -1,177 +1,73 @@
-"""Similar items for every item at once, exact, without comparing all pairs.
-
-The angle between unit vectors is a metric. Vectors are grouped around pivots,
-and by the triangle inequality a query needs to look into a group only if the
-group reaches into the angle within which the query already has ``k`` matches.
-"""
+"""The best matches of a given set of query vectors among all vectors."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import dot
 from tastemill.operators.embeddings import SIMILAR_ITEMS
-from tastemill.operators.skew import HOT_ROWS, lookup_join
+from tastemill.operators.skew import BROADCAST_BYTES
 
-# At most this many vectors, the pivots, pass through the driver.
-MOST_PIVOTS = 1024
-# Vectors compared with each other in one matrix product.
-BLOCK_ROWS = 2048
-# Slack for rounding when a group is ruled out.
-SLACK = 1e-9
+# Query vectors that travel together in one row.
+BLOCK_QUERIES = 64
 
 
-def similar_items_for_all(
+def best_matches(
+    queries: DataFrame,
     vectors: DataFrame,
-    k: int = SIMILAR_ITEMS,
+    k: int,
     *,
-    pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
-    hot_rows: int = HOT_ROWS,
+    block_queries: int = BLOCK_QUERIES,
+    pass_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """The ``k`` most similar items of every item: ``(query, item, similarity)``.
+    """The ``k`` largest dot products of each query: ``(query, item, score, rank)``.
 
-    Ties go to the smaller item. Vectors of length zero have no direction and
-    take no part. Copies of a vector are searched for once: a copy is
-    represented by its ``k + 1`` smallest items, more can never be among the
-    best ``k`` of anything.
+    Both tables are ``(item, vector)`` with arrays of one length. The queries
+    are packed into blocks and sent to the vectors, which stay where they are;
+    each task keeps its own best ``k`` per query. Queries of more than
+    ``pass_bytes`` are sent in several passes. Ties go to the smaller item.
+    Without queries or vectors there are no rows; null vectors match nothing.
     """
-    units = _units(vectors)
-    distinct = _distinct(units, k).persist(StorageLevel.MEMORY_AND_DISK)
-    pivots = pivots or min(MOST_PIVOTS, int(distinct.count() ** 0.5) + 1)
-    lists = _matches(distinct, k, pivots, block_rows, vectors.schema["item"].dataType.simpleString())
-    of_items = lookup_join(units, lists, "unit", "inner", hot_rows=hot_rows)
-    others = F.slice(F.filter("matches", lambda m: m["item"] != F.col("item")), 1, k)
-    return of_items.select(F.col("item").alias("query"), F.explode(others).alias("match")).select(
-        "query", F.col("match.item").alias("item"), F.col("match.similarity").alias("similarity")
+    named = queries.where("vector IS NOT NULL").select(F.col("item").alias("query"), F.col("vector").alias("wanted"))
+    rows, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("wanted") * 8 + 32), F.lit(0))).first()
+    passes = size // pass_bytes + 1
+    blocks = -(-rows // block_queries) or 1
+    # The block number decides the pass, so no block is divided.
+    packed = (
+        named.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
+        .agg(F.collect_list(F.struct("query", "wanted")).alias("queries"))
+        .withColumn("pass", F.col("block") % passes)
     )
-
-
-def _units(vectors: DataFrame) -> DataFrame:
+    found = [
+        vectors.where("vector IS NOT NULL")
+        .join(F.broadcast(packed.where(F.col("pass") == number).select("queries")))
+        .select("item", "vector", F.explode("queries").alias("asked"))
+        .select("asked.query", "item", dot("asked.wanted", "vector").alias("score"))
+        for number in range(passes)
+    ]
+    best_first = Window.partitionBy("query").orderBy(F.col("score").desc(), "item")
+    # Scores of vectors with null elements are null and rank last.
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best_first))
+    return ranked.where((F.col("rank") <= k) & F.col("score").isNotNull())
+
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """Vectors divided by their length; those of length zero are left out."""
     norm = F.sqrt(dot("vector", "vector"))
-    scaled = vectors.select("item", "vector", norm.alias("norm")).where("norm > 0")
-    return scaled.select("item", F.expr("transform(vector, x -> x / norm)").alias("unit"))
-
-
-def _distinct(units: DataFrame, k: int) -> DataFrame:
-    """One row per different vector, with its smallest items in order."""
-    by_item = Window.partitionBy("unit").orderBy("item")
-    smallest = units.withColumn("n", F.row_number().over(by_item)).where(F.col("n") <= k + 1)
-    return smallest.groupBy("unit").agg(F.array_sort(F.collect_list("item")).alias("items")).select(
-        F.col("items")[0].alias("id"), "unit", "items"
-    )
-
-
-def _angles(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(units @ centres.T, -1.0, 1.0))
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
-
+    # An array of norms, since one used inside the function would be computed for every element.
+    norms = F.array_repeat(norm, F.size("vector"))
+    return vectors.where(norm > 0).select("item", F.zip_with("vector", norms, lambda x, n: x / n).alias("vector"))
 
-def _matches(distinct: DataFrame, k: int, pivots: int, block_rows: int, id_type: str) -> DataFrame:
-    """The best ``k + 1`` items of every different vector, its own ones included."""
-    picked = distinct.orderBy(F.md5(F.col("id").cast("string"))).limit(pivots).select("unit").collect()
-    if not picked:
-        empty = F.array().cast(f"array<struct<similarity: double, item: {id_type}>>")
-        return distinct.select("unit", empty.alias("matches"))
-    centres = np.array([r["unit"] for r in picked])
 
-    def assign(batches):
-        for batch in batches:
-            angles = _angles(_matrix(batch["unit"]), centres)
-            batch["cell"] = angles.argmin(axis=1).astype("int32")
-            batch["angle"] = angles.min(axis=1)
-            yield batch
+def similar_items_batch(queries: DataFrame, vectors: DataFrame, k: int = SIMILAR_ITEMS) -> DataFrame:
+    """The ``k`` items most similar by cosine to each query item: ``(query, item, similarity)``.
 
-    placed = distinct.select("id", "unit").mapInPandas(
-        assign, f"id {id_type}, unit array<double>, cell int, angle double"
-    )
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
-    # One row per pivot.
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()
-    radius, parts = np.full(len(centres), -np.inf), np.zeros(len(centres), dtype=int)
-    for cell in cells:
-        radius[cell["cell"]] = cell["radius"]
-        parts[cell["cell"]] = -(-cell["n"] // block_rows)
-    parts_of = F.array(*[F.lit(int(n)) for n in parts])
-    blocks = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.get(parts_of, F.col("cell"))).cast("int"))
-
-    def bound(block: pd.DataFrame) -> pd.DataFrame:
-        """What each vector's k-th best similarity is at least, judging by its own block."""
-        units = _matrix(block["unit"])
-        scores = units @ units.T
-        np.fill_diagonal(scores, -np.inf)
-        enough = len(block) > k
-        kth = np.partition(scores, -k, axis=1)[:, -k] if enough else np.full(len(block), -np.inf)
-        return pd.DataFrame({"id": block["id"], "unit": block["unit"], "kth": kth})
-
-    bounds = blocks.groupBy("cell", "part").applyInPandas(bound, f"id {id_type}, unit array<double>, kth double")
-
-    def visit(batches):
-        """The blocks that may hold one of a vector's best matches."""
-        for batch in batches:
-            nearest = np.maximum(_angles(_matrix(batch["unit"]), centres) - radius, 0.0)
-            wanted = (np.cos(np.minimum(nearest, np.pi)) >= batch["kth"].to_numpy()[:, None] - SLACK) & (parts > 0)
-            row, cell = np.nonzero(wanted)
-            copies = parts[cell]
-            row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-            part = np.concatenate([np.arange(n) for n in copies]) if len(copies) else np.zeros(0, int)
-            yield pd.DataFrame(
-                {
-                    "id": batch["id"].to_numpy()[row],
-                    "unit": batch["unit"].to_numpy()[row],
-                    "cell": cell.astype("int32"),
-                    "part": part.astype("int32"),
-                }
-            )
-
-    visits = bounds.mapInPandas(visit, f"id {id_type}, unit array<double>, cell int, part int")
-    visits = visits.persist(StorageLevel.MEMORY_AND_DISK)
-    # Visitors of a block are cut into groups too; the block is repeated per group.
-    groups = np.zeros(len(centres), dtype=int)
-    for cell in visits.groupBy("cell", "part").count().groupBy("cell").agg(F.max("count").alias("n")).collect():
-        groups[cell["cell"]] = -(-cell["n"] // block_rows)
-    groups_of = F.get(F.array(*[F.lit(int(n)) for n in groups]), F.col("cell"))
-    callers = visits.withColumn("caller", F.pmod(F.xxhash64("id", F.lit(1)), groups_of).cast("int"))
-    called = blocks.where(groups_of > 0).withColumn("caller", F.explode(F.sequence(F.lit(0), groups_of - 1)))
-    key = ["cell", "part", "caller"]
-
-    def search(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or block.empty:
-            return pd.DataFrame({"id": queries["id"][:0], "other": queries["id"][:0], "similarity": np.zeros(0)})
-        ids, others = queries["id"].to_numpy(), block["id"].to_numpy()
-        scores = _matrix(queries["unit"]) @ _matrix(block["unit"]).T
-        scores[ids[:, None] == others[None, :]] = -np.inf
-        depth = min(k, len(others))
-        least = np.partition(scores, -depth, axis=1)[:, -depth]
-        row, column = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-        found = pd.DataFrame({"id": ids[row], "other": others[column], "similarity": scores[row, column]})
-        ordered = found.sort_values(["id", "similarity", "other"], ascending=[True, False, True])
-        return ordered.groupby("id", sort=False).head(k)
-
-    found = (
-        callers.groupBy(*key)
-        .cogroup(called.groupBy(*key))
-        .applyInPandas(search, f"id {id_type}, other {id_type}, similarity double")
-    )
-    best_first = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "other")
-    best = found.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k)
-
-    # From different vectors back to items: a match stands for all its smallest items.
-    matched = best.join(distinct.select(F.col("id").alias("other"), "items"), "other").select("id", "similarity", "items")
-    own = distinct.select("id", F.lit(1.0).alias("similarity"), "items")
-    listed = matched.unionByName(own).select("id", "similarity", F.explode("items").alias("item"))
-    entry = F.struct((-F.col("similarity")).alias("rank"), "item", "similarity")
-    lists = listed.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k + 1).alias("entries"))
-    return lists.join(distinct.select("id", "unit"), "id").select(
-        "unit",
-        F.transform("entries", lambda e: F.struct(e["similarity"].alias("similarity"), e["item"].alias("item"))).alias(
-            "matches"
-        ),
-    )
+    An item isn't similar to itself. Repeated items must not occur in either table.
+    """
+    found = best_matches(unit_vectors(queries), unit_vectors(vectors), k + 1).where("query <> item")
+    best_first = Window.partitionBy("query").orderBy("rank")
+    kept = found.withColumn("n", F.row_number().over(best_first)).where(F.col("n") <= k)
+    return kept.select("query", "item", F.col("score").alias("similarity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tastemill.plans.registry import PART_GENRES, QUERY_ITEM, STORED_VECTOR_SIZE
+from tastemill.plans.registry import PART_GENRES, QUERY_ITEM, QUERY_STEP, STORED_VECTOR_SIZE, WALKS_PER_ITEM
 
 LINE_ORDER = "timestamp, orderKey, lineNumber, movieId, suppKey, quantity, price"
 KEYS = "orderKey, lineNumber, movieId, suppKey"
@@ -54,17 +54,20 @@ featured AS (
 )"""
 
 
-def past(rows: int = 100) -> str:
-    return f"""
-past AS (
-  SELECT *, list_reverse(list(movieId) FILTER (WHERE label = 1) OVER w) AS liked,
-         count(*) OVER w AS userRatingCount,
+COUNT = "count(*) OVER w AS userRatingCount"
+LIKED_LIST = "list_reverse(list(movieId) FILTER (WHERE label = 1) OVER w) AS liked"
+LIKED_GENRES = "list(genres) FILTER (WHERE label = 1) OVER w AS likedGenres"
+NUMBERS = f"""{COUNT},
          trunc(coalesce(avg(releaseYear) OVER w, 0))::INTEGER AS userAvgReleaseYear,
          printf('%.2f', coalesce(stddev_samp(releaseYear) OVER w, 0))::DOUBLE AS userReleaseYearStddev,
          printf('%.2f', avg(rating) OVER w)::DOUBLE AS userAvgRating,
-         printf('%.2f', coalesce(stddev_samp(rating) OVER w, 0))::DOUBLE AS userRatingStddev,
-         list(genres) FILTER (WHERE label = 1) OVER w AS likedGenres
-  FROM featured
+         printf('%.2f', coalesce(stddev_samp(rating) OVER w, 0))::DOUBLE AS userRatingStddev"""
+
+
+def past(*columns: str, rows: int = 100) -> str:
+    return f"""
+past AS (
+  SELECT *, {", ".join(columns)} FROM featured
   WINDOW w AS (PARTITION BY userId ORDER BY {LINE_ORDER} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)
 )"""
 
@@ -105,7 +108,16 @@ def with_(*parts: str, recursive: bool = False) -> str:
 
 
 UP_TO_FEATURED = (RATINGS, ITEMS, STATS, FEATURED)
-UP_TO_SAMPLES = (*UP_TO_FEATURED, past(), PREFS, SAMPLES)
+UP_TO_SAMPLES = (*UP_TO_FEATURED, past(NUMBERS, LIKED_LIST, LIKED_GENRES), PREFS, SAMPLES)
+# Samples with fewer columns, where a query needs no more.
+WARM = "samples AS (SELECT * FROM past WHERE userRatingCount > 1)"
+COUNTED_SAMPLES = (*UP_TO_FEATURED, past(COUNT), WARM)
+GENRE_SAMPLES = (
+    *UP_TO_FEATURED,
+    past(COUNT, LIKED_GENRES),
+    PREFS,
+    "samples AS (SELECT * FROM past LEFT JOIN prefs USING (rid) WHERE userRatingCount > 1)",
+)
 
 
 def draw(key: str) -> str:
@@ -118,7 +130,7 @@ SPLIT = f"CASE WHEN {draw(SPLIT_KEY)} % 100 < 80 THEN 'train' ELSE 'test' END AS
 
 def window_stats(rows: int) -> str:
     return (
-        with_(*UP_TO_FEATURED, past(rows))
+        with_(*UP_TO_FEATURED, past(NUMBERS, rows=rows))
         + f"SELECT {KEYS}, userId, userRatingCount, userAvgReleaseYear, userReleaseYearStddev, userAvgRating, "
         + "userRatingStddev FROM past"
     )
@@ -150,13 +162,13 @@ nodes AS (
 )"""
 
 
-def walks_sql(ratings: str, source: str, order: str) -> str:
+def walks_with(ratings: str, source: str, order: str, count: str = "20000") -> str:
     start, onward = draw("walk_id || ':0'"), draw("w.walk_id || ':' || (w.step + 1)")
     parts = f"""
 degree AS (SELECT src, max(total) AS total FROM edges GROUP BY src),
 starts AS (
   SELECT walk_id, {start} % (SELECT max(total) FROM nodes) AS pos
-  FROM (SELECT unnest(range(1, 20001)) AS walk_id)
+  FROM (SELECT unnest(range(1, 1 + ({count}))) AS walk_id)
 ),
 walk AS (
   SELECT walk_id, 0 AS step, item FROM starts JOIN nodes ON lo <= pos AND pos < hi
@@ -166,11 +178,14 @@ walk AS (
     FROM walk w JOIN degree g ON g.src = w.item WHERE w.step < 9
   ) n JOIN edges d ON d.src = n.item AND d.lo <= n.pos AND n.pos < d.hi
 )"""
-    return (
-        with_(ratings, steps(source, order), EDGES, NODES, parts, recursive=True)
-        + "SELECT walk_id, step, item FROM walk"
-    )
+    return with_(ratings, steps(source, order), EDGES, NODES, parts, recursive=True)
+
 
+EVENT_WALKS = walks_with(EVENTS, "e", "timestamp, eventId")
+LINE_WALKS = walks_with(RATINGS, "r", LINE_ORDER)
+PER_ITEM = f"SELECT {WALKS_PER_ITEM} * count(*) FROM nodes"
+EVENT_DEEPWALKS = walks_with(EVENTS, "e", "timestamp, eventId", PER_ITEM)
+LINE_DEEPWALKS = walks_with(RATINGS, "r", LINE_ORDER, PER_ITEM)
 
 COUNTED = "SELECT movieId, count(*) AS ratingCount, avg(rating) AS avgRating, var_samp(rating) AS ratingVar FROM r GROUP BY movieId"
 
@@ -227,6 +242,53 @@ def filled(column: str) -> str:
     return f"coalesce({column}, 0) AS {column}"
 
 
+# Trained models: what of their results doesn't depend on the training itself.
+
+ALS_SIDES = f"""
+als_rows AS (SELECT *, {SPLIT} FROM r),
+train_users AS (SELECT DISTINCT userId::INTEGER AS id FROM als_rows WHERE split = 'train'),
+train_items AS (SELECT DISTINCT movieId::INTEGER AS id FROM als_rows WHERE split = 'train')"""
+
+ALS_SCORED = """
+scored AS (
+  SELECT * FROM als_rows WHERE split = 'test' AND userId IN (SELECT id FROM train_users)
+  AND movieId IN (SELECT id FROM train_items)
+)"""
+
+
+def top_lists(owners: str, entries: str) -> str:
+    return (
+        with_(RATINGS, ALS_SIDES)
+        + f"SELECT o.id, k::INTEGER AS rank, true AS known, true AS descending, true AS once FROM ({owners}) o "
+        + f"CROSS JOIN (SELECT unnest(range(1, 11)) AS k) WHERE k <= (SELECT count(*) FROM {entries})"
+    )
+
+
+def first_three(column: str, side: str) -> str:
+    return (
+        f"SELECT id FROM (SELECT DISTINCT {column}::INTEGER AS id FROM r ORDER BY id LIMIT 3) "
+        + f"WHERE id IN (SELECT id FROM {side})"
+    )
+
+
+def similar_ranks(counts: str) -> str:
+    """Ranks of the items similar to the query item, where vectors exist for items counted five times."""
+    return (
+        f"SELECT k::INTEGER AS rank, true AS known, true AS inRange, true AS once "
+        + f"FROM (SELECT unnest(range(1, 21)) AS k) WHERE {QUERY_ITEM} IN (SELECT item FROM ({counts})) "
+        + f"AND k < (SELECT count(*) FROM ({counts}))"
+    )
+
+
+EVENT_VOCABULARY = "SELECT movieId AS item FROM e WHERE rating >= 3.5 GROUP BY movieId HAVING count(*) >= 5"
+LINE_VOCABULARY = "SELECT movieId AS item FROM r WHERE rating >= 3.5 GROUP BY movieId HAVING count(*) >= 5"
+WALK_VOCABULARY = "SELECT item FROM walk GROUP BY item HAVING count(*) >= 5"
+VECTOR_CHECK = "10 AS size, true AS finite"
+SCORED_CHECK = (
+    with_(*COUNTED_SAMPLES)
+    + f"SELECT {KEYS}, label, true AS inRange, true AS fits FROM (SELECT *, {SPLIT} FROM samples) WHERE split = 'test'"
+)
+
 ALL_SAMPLE_COLUMNS = [c.strip() for c in SAMPLE_COLUMNS.replace("\n", " ").split(",")]
 
 ORACLES: dict[str, str] = {
@@ -234,7 +296,7 @@ ORACLES: dict[str, str] = {
     "items_csv": with_(ITEMS) + "SELECT movieId, title, genres FROM items",
     "training_samples_csv": with_(*UP_TO_SAMPLES)
     + f"SELECT {', '.join(filled(c) for c in ALL_SAMPLE_COLUMNS)} FROM samples",
-    "model_samples_parquet": with_(*UP_TO_SAMPLES)
+    "model_samples_parquet": with_(*COUNTED_SAMPLES)
     + f"SELECT movieId, userId, timestamp, rating, userRatingCount, {SPLIT} FROM samples",
     "shuffled_rows": with_(RATINGS) + f"SELECT {KEYS}, rating FROM r",
     "typed_ratings": with_(RATINGS)
@@ -253,15 +315,15 @@ ORACLES: dict[str, str] = {
     "attach_item_stats": with_(RATINGS, STATS)
     + f"SELECT {KEYS}, userId, rating, movieRatingCount, movieAvgRating, movieRatingStddev "
     + "FROM r LEFT JOIN stats USING (movieId)",
-    "user_history": with_(*UP_TO_FEATURED, past()) + f"SELECT {KEYS}, userId, {LIKED} FROM past",
+    "user_history": with_(*UP_TO_FEATURED, past(LIKED_LIST)) + f"SELECT {KEYS}, userId, {LIKED} FROM past",
     "user_window_stats": window_stats(100),
     "user_window_stats_10": window_stats(10),
-    "user_genre_prefs": with_(*UP_TO_FEATURED, past(), PREFS)
+    "user_genre_prefs": with_(*UP_TO_FEATURED, past(LIKED_GENRES), PREFS)
     + f"SELECT {KEYS}, userId, {USER_GENRES} FROM past LEFT JOIN prefs USING (rid)",
-    "warm_rows": with_(*UP_TO_FEATURED, past())
+    "warm_rows": with_(*UP_TO_FEATURED, past(COUNT))
     + f"SELECT {KEYS}, userId, userRatingCount FROM past WHERE userRatingCount > 1",
     "model_samples": with_(*UP_TO_SAMPLES) + f"SELECT {SAMPLE_COLUMNS} FROM samples",
-    "item_snapshot": with_(*UP_TO_SAMPLES)
+    "item_snapshot": with_(*COUNTED_SAMPLES)
     + "SELECT movieId, releaseYear, coalesce(movieGenre1, '') AS movieGenre1, coalesce(movieGenre2, '') AS movieGenre2, "
     + "coalesce(movieGenre3, '') AS movieGenre3, movieRatingCount, movieAvgRating, movieRatingStddev FROM ("
     + "SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY timestamp DESC, orderKey DESC, lineNumber DESC, "
@@ -296,8 +358,8 @@ ORACLES: dict[str, str] = {
     "order_item_pairs": with_(RATINGS, steps("r", LINE_ORDER)) + "SELECT src, dst, cnt FROM pairs",
     "transition_probs": with_(EVENTS, steps("e", "timestamp, eventId"), EDGES) + "SELECT * FROM edges",
     "item_distribution": with_(EVENTS, steps("e", "timestamp, eventId"), NODES) + "SELECT * FROM nodes",
-    "random_walks": walks_sql(EVENTS, "e", "timestamp, eventId"),
-    "order_random_walks": walks_sql(RATINGS, "r", LINE_ORDER),
+    "random_walks": EVENT_WALKS + "SELECT walk_id, step, item FROM walk",
+    "order_random_walks": LINE_WALKS + "SELECT walk_id, step, item FROM walk",
     "hash_split": with_(RATINGS) + f"SELECT {KEYS}, {SPLIT} FROM r",
     "user_vectors": with_(RATINGS, VECTORS, USER_SUMS)
     + "SELECT userId, position, round(value, 4) + 0.0 AS value FROM user_dims",
@@ -310,8 +372,8 @@ ORACLES: dict[str, str] = {
     + "SELECT query, item, round(similarity, 6) AS similarity FROM ("
     + "SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS k FROM ("
     + "SELECT q.item AS query, v.item AS item, list_cosine_similarity(q.vector, v.vector) AS similarity "
-    + "FROM vectors q JOIN vectors v ON q.item <> v.item)) WHERE k <= 20",
-    "dot_crosses": with_(*UP_TO_SAMPLES, VECTORS, USER_SUMS)
+    + f"FROM vectors q JOIN vectors v ON q.item <> v.item WHERE q.item % {QUERY_STEP} = 0)) WHERE k <= 20",
+    "dot_crosses": with_(*GENRE_SAMPLES, VECTORS, USER_SUMS)
     + f""",
 user_sum AS (SELECT userId, list(value ORDER BY position) AS userVector FROM user_dims GROUP BY userId),
 genre_dims AS (
@@ -330,7 +392,7 @@ SELECT {KEYS}, userId, round(list_dot_product(iv, uv), 4) + 0.0 AS itemUserDot,
        round(list_dot_product(iv, ug), 4) + 0.0 AS itemUserGenreDot, round(list_dot_product(ig, uv), 4) + 0.0 AS itemGenreUserDot,
        round(list_dot_product(ig, ug), 4) + 0.0 AS itemGenreUserGenreDot
 FROM joined""",
-    "hashed_cross": with_(*UP_TO_FEATURED, past())
+    "hashed_cross": with_(*UP_TO_FEATURED, past(LIKED_LIST))
     + f"SELECT {KEYS}, userId, liked[1] AS userRatedMovie1, "
     + draw("movieId || ':' || coalesce(liked[1]::VARCHAR, '')")
     + " % 10000 AS crossBucket FROM past",
@@ -353,7 +415,7 @@ FROM joined""",
     + "round(avg(CASE WHEN label = (CASE WHEN movieAvgRating >= 2.5 THEN 1 ELSE 0 END) THEN 1.0 ELSE 0.0 END), 6) "
     + "AS accuracy FROM r JOIN stats USING (movieId)",
     "distinct_users": with_(RATINGS) + "SELECT DISTINCT userId FROM r",
-    "numeric_vector": with_(*UP_TO_SAMPLES)
+    "numeric_vector": with_(*UP_TO_FEATURED, past(NUMBERS), WARM)
     + f"SELECT {KEYS}, userId, releaseYear AS x0, movieRatingCount AS x1, movieAvgRating AS x2, "
     + "movieRatingStddev AS x3, userRatingCount AS x4, userAvgReleaseYear AS x5, userReleaseYearStddev AS x6, "
     + "userAvgRating AS x7, userRatingStddev AS x8 FROM samples",
@@ -362,4 +424,35 @@ FROM joined""",
     + ", ".join(f"round(coalesce(vector[{i + 1}], 0), 6) AS x{i}" for i in range(4))
     + " FROM r LEFT JOIN vectors ON item = movieId",
     "first_users": with_(RATINGS) + "SELECT DISTINCT userId FROM r ORDER BY userId LIMIT 3",
+    "als_scores": with_(RATINGS, ALS_SIDES, ALS_SCORED)
+    + "SELECT orderKey, lineNumber, suppKey, userId::INTEGER AS userIdInt, movieId::INTEGER AS movieIdInt, "
+    + "rating AS ratingFloat, true AS finite FROM scored",
+    "als_rmse": with_(RATINGS, ALS_SIDES, ALS_SCORED)
+    + "SELECT count(*) AS scored, true AS finite FROM scored",
+    "als_item_factors": with_(RATINGS, ALS_SIDES)
+    + f"SELECT id::BIGINT AS item, {VECTOR_CHECK} FROM train_items",
+    "als_user_factors": with_(RATINGS, ALS_SIDES)
+    + f"SELECT id::BIGINT AS item, {VECTOR_CHECK} FROM train_users",
+    "als_top_items": top_lists("SELECT id FROM train_users", "train_items"),
+    "als_top_users": top_lists("SELECT id FROM train_items", "train_users"),
+    "als_user_subset": top_lists(first_three("userId", "train_users"), "train_items"),
+    "als_item_subset": top_lists(first_three("movieId", "train_items"), "train_users"),
+    "als_cv": "SELECT unnest(range(0, 10))::INTEGER AS fold, 0.01::DOUBLE AS regularization, true AS finite",
+    "item2vec_vectors": with_(EVENTS) + f"SELECT item, {VECTOR_CHECK} FROM ({EVENT_VOCABULARY})",
+    "deepwalk_vectors": EVENT_DEEPWALKS + f"SELECT item, {VECTOR_CHECK} FROM ({WALK_VOCABULARY})",
+    "item2vec_user_vectors": with_(EVENTS)
+    + f"SELECT userId, {VECTOR_CHECK}, bool_or(movieId IN ({EVENT_VOCABULARY})) AS filled FROM e GROUP BY userId",
+    "similar_items": with_(RATINGS) + similar_ranks(LINE_VOCABULARY),
+    "deepwalk_similar_items": LINE_DEEPWALKS + similar_ranks(WALK_VOCABULARY),
+    "ctr_mlp": SCORED_CHECK,
+    "neural_cf": SCORED_CHECK,
+    "wide_deep": SCORED_CHECK,
+    "fm": SCORED_CHECK,
+    "two_tower": SCORED_CHECK,
+    "two_tower_topk": with_(RATINGS, VECTORS, USER_SUMS)
+    + ", users AS (SELECT userId, list(value ORDER BY position) AS vector FROM user_dims "
+    + f"WHERE userId % {QUERY_STEP} = 0 GROUP BY userId), "
+    + "scored AS (SELECT userId, item AS movieId, list_dot_product(u.vector, v.vector) AS s FROM users u, vectors v), "
+    + "best AS (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY s DESC, movieId) AS rank FROM scored) "
+    + "SELECT userId, rank::INTEGER AS rank, movieId, round(s, 4) AS score FROM best WHERE rank <= 10",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.recommendation import ALSModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tastemill.operators import collaborative as cf
@@ -16,7 +16,7 @@ from tastemill.operators import ctr_models as models
 from tastemill.operators import embeddings as emb
 from tastemill.operators import encoders as enc
 from tastemill.operators import history, samples, sequences, snapshots, walks
-from tastemill.operators.neighbours import similar_items_for_all
+from tastemill.operators.neighbours import best_matches, similar_items_batch
 from tastemill.plans.jobs import model_samples
 from tastemill.session import ensure_checkpoint_dir, shared_dir
 from tastemill.sources import files
@@ -59,6 +59,11 @@ PART_GENRES = [
 LINE_KEYS = ["orderKey", "lineNumber", "movieId", "suppKey"]
 STORED_VECTOR_SIZE = 64
 QUERY_ITEM = 158
+# Batch searches ask for every row whose id is divisible by this.
+QUERY_STEP = 100
+# Walks that DeepWalk trains on, for each item that a walk can start from.
+WALKS_PER_ITEM = 20
+CV_GRID = [{"regularization": cf.REGULARIZATION}]
 
 
 def text(array: str) -> Column:
@@ -309,7 +314,8 @@ def similar_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def similar_vectors_batch(spark: SparkSession, folder: str) -> DataFrame:
-    found = similar_items_for_all(item_vectors(spark, folder))
+    vectors = item_vectors(spark, folder)
+    found = similar_items_batch(vectors.where(F.col("item") % QUERY_STEP == 0), vectors)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -408,66 +414,136 @@ def _als(spark: SparkSession, folder: str) -> tuple[ALSModel, DataFrame]:
     return cf.fit_als(rows.where("split = 'train'")), rows
 
 
+def finite(column: str | Column) -> Column:
+    value = F.col(column) if isinstance(column, str) else column
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
+
+
+def vector_check(vectors: DataFrame) -> DataFrame:
+    """Whose vectors there are, how long they are and whether all their numbers are finite."""
+    return vectors.select("item", F.size("vector").alias("size"), F.forall("vector", finite).alias("finite"))
+
+
+def list_check(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """Top lists as ``(id, rank)`` and what must hold for every entry.
+
+    The entry is among the ids that have factors, its score is not above that of
+    the entry before it, and it occurs once in its list.
+    """
+    by_rank = Window.partitionBy("id").orderBy("rank")
+    ids = known.select(F.col("item").cast("int").alias("recommended"), F.lit(True).alias("found"))
+    return lists.join(ids, "recommended", "left").select(
+        "id",
+        "rank",
+        F.coalesce("found", F.lit(False)).alias("known"),
+        F.coalesce(F.lag("score").over(by_rank) >= F.col("score"), F.lit(True)).alias("descending"),
+        (F.count(F.lit(1)).over(Window.partitionBy("id", "recommended")) == 1).alias("once"),
+    )
+
+
 def als_scores(spark: SparkSession, folder: str) -> DataFrame:
     model, ratings = _als(spark, folder)
-    return model.transform(ratings.where("split = 'test'"))
+    scored = model.transform(ratings.where("split = 'test'"))
+    return scored.select("orderKey", "lineNumber", "suppKey", cf.USER, cf.ITEM, cf.RATING,
+                         finite("prediction").alias("finite"))
 
 
 def als_rmse(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.rmse_table(als_scores(spark, folder))
+    model, ratings = _als(spark, folder)
+    scored = model.transform(ratings.where("split = 'test'")).persist()
+    rows = scored.agg(F.count(F.lit(1)).alias("scored"))
+    found = rows.crossJoin(cf.rmse_table(scored)).select("scored", finite("rmse").alias("finite")).collect()
+    scored.unpersist()
+    return spark.createDataFrame(found, "scored long, finite boolean")
 
 
 def als_item_factors(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.factors(_als(spark, folder)[0], "items")
+    return vector_check(cf.factors(_als(spark, folder)[0], "items"))
 
 
 def als_user_factors(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.factors(_als(spark, folder)[0], "users")
+    return vector_check(cf.factors(_als(spark, folder)[0], "users"))
 
 
 def als_top_items(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.ranked(cf.recommend_items(_als(spark, folder)[0]))
+    model, _ = _als(spark, folder)
+    return list_check(cf.ranked(cf.recommend_items(model)), cf.factors(model, "items"))
 
 
 def als_top_users(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.ranked(cf.recommend_users(_als(spark, folder)[0]))
+    model, _ = _als(spark, folder)
+    return list_check(cf.ranked(cf.recommend_users(model)), cf.factors(model, "users"))
 
 
 def als_user_subset(spark: SparkSession, folder: str) -> DataFrame:
     model, ratings = _als(spark, folder)
-    return cf.ranked(cf.recommend_items(model, users=cf.first_ids(ratings, cf.USER)))
+    lists = cf.ranked(cf.recommend_items(model, users=cf.first_ids(ratings, cf.USER)))
+    return list_check(lists, cf.factors(model, "items"))
 
 
 def als_item_subset(spark: SparkSession, folder: str) -> DataFrame:
     model, ratings = _als(spark, folder)
-    return cf.ranked(cf.recommend_users(model, items=cf.first_ids(ratings, cf.ITEM)))
+    lists = cf.ranked(cf.recommend_users(model, items=cf.first_ids(ratings, cf.ITEM)))
+    return list_check(lists, cf.factors(model, "users"))
 
 
 def als_cv(spark: SparkSession, folder: str) -> DataFrame:
     keys = ["orderKey", "lineNumber", cf.ITEM, "suppKey"]
-    return cf.cross_validate(_als_rows(spark, folder).where("split = 'train'"), keys)
+    errors = cf.cross_validate(_als_rows(spark, folder).where("split = 'train'"), keys, grid=CV_GRID)
+    return errors.select("fold", F.lit(CV_GRID[0]["regularization"]).alias("regularization"),
+                         finite("rmse").alias("finite"))
+
+
+def _deepwalk(ratings: DataFrame, cols) -> emb.Word2VecModel:
+    return emb.deepwalk(ratings, cols, walks_per_item=WALKS_PER_ITEM)
+
+
+def similar_check(vectors: DataFrame, item: int) -> DataFrame:
+    """Ranks of the items similar to ``item`` and what must hold for them."""
+    found = emb.similar_items(vectors, item)
+    best_first = Window.orderBy(F.col("similarity").desc(), "item")  # twenty rows at most
+    known = vectors.where(F.col("item") != item).select("item", F.lit(True).alias("found"))
+    return found.join(known, "item", "left").select(
+        F.row_number().over(best_first).alias("rank"),
+        F.coalesce("found", F.lit(False)).alias("known"),
+        F.col("similarity").between(-1 - 1e-9, 1 + 1e-9).alias("inRange"),
+        (F.count(F.lit(1)).over(Window.partitionBy("item")) == 1).alias("once"),
+    )
 
 
 def item2vec_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return emb.model_vectors(emb.item2vec(event_ratings(spark, folder), EVENT_RATINGS))
+    return vector_check(emb.model_vectors(emb.item2vec(event_ratings(spark, folder), EVENT_RATINGS)))
 
 
 def deepwalk_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return emb.model_vectors(emb.deepwalk(event_ratings(spark, folder), EVENT_RATINGS))
+    return vector_check(emb.model_vectors(_deepwalk(event_ratings(spark, folder), EVENT_RATINGS)))
 
 
 def item2vec_user_vectors(spark: SparkSession, folder: str) -> DataFrame:
     ratings = event_ratings(spark, folder)
-    vectors = emb.model_vectors(emb.item2vec(ratings, EVENT_RATINGS))
-    return emb.user_vectors(ratings, vectors)
+    vectors = emb.user_vectors(ratings, emb.model_vectors(emb.item2vec(ratings, EVENT_RATINGS)))
+    return vectors.select("userId", F.size("vector").alias("size"), F.forall("vector", finite).alias("finite"),
+                          F.exists("vector", lambda x: x != 0).alias("filled"))
 
 
 def similar_items(spark: SparkSession, folder: str) -> DataFrame:
-    return emb.synonyms(emb.item2vec(line_ratings(spark, folder), LINE_RATINGS), QUERY_ITEM)
+    return similar_check(emb.model_vectors(emb.item2vec(line_ratings(spark, folder), LINE_RATINGS)), QUERY_ITEM)
 
 
 def deepwalk_similar_items(spark: SparkSession, folder: str) -> DataFrame:
-    return emb.synonyms(emb.deepwalk(line_ratings(spark, folder), LINE_RATINGS), QUERY_ITEM)
+    return similar_check(emb.model_vectors(_deepwalk(line_ratings(spark, folder), LINE_RATINGS)), QUERY_ITEM)
+
+
+def score_check(model: models.CtrModel, test: DataFrame) -> DataFrame:
+    """Every scored row with its label, and whether score and prediction are sound and fit each other."""
+    score = F.col("score")
+    fits = (F.col("prediction") == 1) == (score > 0.5)
+    return model.score(test, LINE_KEYS).select(
+        *LINE_KEYS,
+        "label",
+        F.coalesce(score.between(0, 1), F.lit(False)).alias("inRange"),
+        F.coalesce(fits, F.lit(False)).alias("fits"),
+    )
 
 
 def training_frames(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -485,33 +561,53 @@ def word_vectors(spark: SparkSession, folder: str, train: DataFrame) -> models.V
     return models.Vectors(vectors, users, emb.VECTOR_SIZE, genres)
 
 
-def ctr_mlp(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = training_frames(spark, folder)
-    return models.fit_ctr_mlp(train, word_vectors(spark, folder, train), PART_GENRES).score(test, LINE_KEYS)
+def mlp_model(spark: SparkSession, folder: str, train: DataFrame) -> models.CtrModel:
+    return models.fit_ctr_mlp(train, word_vectors(spark, folder, train), PART_GENRES)
 
 
-def neural_cf(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = training_frames(spark, folder)
+def neural_cf_model(spark: SparkSession, folder: str, train: DataFrame) -> models.CtrModel:
     model = cf.fit_als(cf.als_input(train))
     vectors = models.Vectors(cf.factors(model, "items"), cf.factors(model, "users"), model.rank)
-    return models.fit_neural_cf(train, vectors).score(test, LINE_KEYS)
+    return models.fit_neural_cf(train, vectors)
+
+
+def wide_deep_model(spark: SparkSession, folder: str, train: DataFrame) -> models.CtrModel:
+    return models.fit_wide_deep(train, word_vectors(spark, folder, train), LINE_KEYS, PART_GENRES)
+
 
+def fm_model(spark: SparkSession, folder: str, train: DataFrame) -> models.CtrModel:
+    return models.fit_deep_fm(train, word_vectors(spark, folder, train), LINE_KEYS, PART_GENRES)
 
-def wide_deep(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = training_frames(spark, folder)
-    vectors = word_vectors(spark, folder, train)
-    return models.fit_wide_deep(train, vectors, LINE_KEYS, PART_GENRES).score(test, LINE_KEYS)
 
+def two_tower_model(spark: SparkSession, folder: str, train: DataFrame) -> models.CtrModel:
+    return models.fit_two_tower(train, word_vectors(spark, folder, train), PART_GENRES)
 
-def fm(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = training_frames(spark, folder)
-    vectors = word_vectors(spark, folder, train)
-    return models.fit_deep_fm(train, vectors, LINE_KEYS, PART_GENRES).score(test, LINE_KEYS)
 
+CLICK_MODELS = {
+    "ctr_mlp": mlp_model,
+    "neural_cf": neural_cf_model,
+    "wide_deep": wide_deep_model,
+    "fm": fm_model,
+    "two_tower": two_tower_model,
+}
+
+
+def click_query(name: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        train, test = training_frames(spark, folder)
+        return score_check(CLICK_MODELS[name](spark, folder, train), test)
 
-def two_tower(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = training_frames(spark, folder)
-    return models.fit_two_tower(train, word_vectors(spark, folder, train), PART_GENRES).score(test, LINE_KEYS)
+    return query
+
+
+def two_tower_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Items for users by the dot product of their tower vectors, here the stored ones."""
+    items = item_vectors(spark, folder)
+    asked = line_ratings(spark, folder).where(F.col("userId") % QUERY_STEP == 0)
+    users = emb.user_vectors(asked, items, STORED_VECTOR_SIZE).withColumnRenamed("userId", "item").persist()
+    return best_matches(users, items, cf.TOP_K).select(
+        F.col("query").alias("userId"), "rank", F.col("item").alias("movieId"), F.round("score", 4).alias("score")
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -581,9 +677,10 @@ QUERIES: dict[str, Query] = {
     "item2vec_user_vectors": item2vec_user_vectors,
     "similar_items": similar_items,
     "deepwalk_similar_items": deepwalk_similar_items,
-    "ctr_mlp": ctr_mlp,
-    "neural_cf": neural_cf,
-    "wide_deep": wide_deep,
-    "fm": fm,
-    "two_tower": two_tower,
+    "ctr_mlp": click_query("ctr_mlp"),
+    "neural_cf": click_query("neural_cf"),
+    "wide_deep": click_query("wide_deep"),
+    "fm": click_query("fm"),
+    "two_tower": click_query("two_tower"),
+    "two_tower_topk": two_tower_topk,
 }

@@ -2,58 +2,44 @@ import numpy as np
 import pytest
 
 from tastemill.operators.embeddings import similar_items
-from tastemill.operators.neighbours import similar_items_for_all
+from tastemill.operators.neighbours import best_matches, similar_items_batch
 
+SCHEMA = "item long, vector array<double>"
 
-def brute_force(rows, k):
-    kept = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if np.linalg.norm(v) > 0]
-    found = {}
-    for i, u in kept:
-        others = sorted((-round(float(u @ w), 9), j) for j, w in kept if j != i)
-        found[i] = [-s for s, _ in others[:k]]
-    return found
-
-
-def clustered(n, seed):
-    rng = np.random.default_rng(seed)
-    centres = rng.normal(size=(6, 5))
-    return [(i, (centres[i % 6] + 0.05 * rng.normal(size=5)).tolist()) for i in range(n)]
 
+def table(spark, n, seed):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(seed).normal(size=(n, 5)))]
+    return rows, spark.createDataFrame(rows, SCHEMA).repartition(3)
 
-def random(n, seed):
-    return [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(seed).normal(size=(n, 5)))]
 
-
-@pytest.mark.parametrize("make", [clustered, random])
-@pytest.mark.parametrize("pivots, block_rows", [(8, 16), (3, 1000)])
-def test_same_as_brute_force(spark, make, pivots, block_rows):
-    rows = make(150, 3) + [(900, [0.0] * 5)]
-    vectors = spark.createDataFrame(rows, "item long, vector array<double>").repartition(3)
-    found = {}
-    for r in similar_items_for_all(vectors, 7, pivots=pivots, block_rows=block_rows).collect():
-        assert r.query != r.item
-        found.setdefault(r.query, []).append(round(r.similarity, 9))
-    expected = brute_force(rows, 7)
-    assert set(found) == set(expected)
-    for item, similarities in found.items():
-        assert np.allclose(sorted(similarities, reverse=True), expected[item], atol=1e-8)
-
-
-def test_copies_are_searched_once_and_all_answered(spark):
-    rows = [(i, [1.0, 2.0, 3.0]) for i in range(60)] + [(100 + i, [1.0, float(i), 0.0]) for i in range(40)]
-    vectors = spark.createDataFrame(rows, "item long, vector array<double>")
+@pytest.mark.parametrize("options", [{}, {"block_queries": 2}, {"block_queries": 3, "pass_bytes": 200}])
+def test_best_matches_equal_brute_force(spark, options):
+    rows, vectors = table(spark, 80, 3)
+    asked, queries = table(spark, 11, 4)
     found = {}
-    for r in similar_items_for_all(vectors, 5, pivots=4, block_rows=8, hot_rows=10).collect():
+    for r in sorted(best_matches(queries, vectors, 6, **options).collect(), key=lambda r: (r.query, r.rank)):
         found.setdefault(r.query, []).append(r.item)
-    assert len(found) == 100 and all(len(set(items)) == 5 for items in found.values())
-    assert sorted(found[0]) == [1, 2, 3, 4, 5] and sorted(found[50]) == [0, 1, 2, 3, 4] and sorted(found[3]) == [0, 1, 2, 4, 5]
-    single = sorted(r.item for r in similar_items(vectors, 120, 5).collect())
-    assert sorted(found[120]) == single
-
-
-def test_few_or_no_vectors(spark):
-    schema = "item long, vector array<double>"
-    assert similar_items_for_all(spark.createDataFrame([], schema)).count() == 0
-    assert similar_items_for_all(spark.createDataFrame([(1, [1.0])], schema)).count() == 0
-    two = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], schema)
-    assert sorted((r.query, r.item) for r in similar_items_for_all(two).collect()) == [(1, 2), (2, 1)]
+    for query, vector in asked:
+        scores = sorted((-float(np.dot(vector, v)), i) for i, v in rows)
+        assert found[query] == [i for _, i in scores[:6]]
+    assert len(found) == len(asked)
+
+
+def test_batch_equals_the_single_search(spark):
+    _, vectors = table(spark, 60, 5)
+    batch = similar_items_batch(vectors.where("item % 20 = 0"), vectors, 7).collect()
+    for query in (0, 20, 40):
+        single = [(r.item, round(r.similarity, 9)) for r in similar_items(vectors, query, 7).collect()]
+        assert sorted(single) == sorted((r.item, round(r.similarity, 9)) for r in batch if r.query == query)
+
+
+def test_ties_copies_nulls_and_empty_tables(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(9)] + [(50, [0.0, 0.0]), (51, None)]
+    vectors = spark.createDataFrame(rows, SCHEMA)
+    found = sorted((r.query, r.item) for r in similar_items_batch(vectors.where("item in (3, 50, 51)"), vectors, 4).collect())
+    assert found == [(3, 0), (3, 1), (3, 2), (3, 4)]
+    # A copy with a larger id than k others is not among its own best.
+    found = sorted(r.item for r in similar_items_batch(vectors.where("item = 8"), vectors, 4).collect())
+    assert found == [0, 1, 2, 3]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert similar_items_batch(empty, vectors).count() == 0 and similar_items_batch(vectors, empty).count() == 0
