@@ -8,15 +8,13 @@ from pyspark.ml.feature import (
     Bucketizer,
     CountVectorizerModel,
     MinMaxScaler,
-    OneHotEncoder,
-    OneHotEncoderModel,
     QuantileDiscretizer,
     StringIndexer,
     StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,23 +27,29 @@ from tastemill.operators.skew import HOT_ROWS, lookup_join, positions
 MODEL_LABELS = 100_000
 
 
-def fit_one_hot(df: DataFrame, column: str, output: str, *, keep_invalid: bool = False) -> OneHotEncoderModel:
-    return OneHotEncoder(
-        inputCols=[column],
-        outputCols=[output],
-        dropLast=False,
-        handleInvalid="keep" if keep_invalid else "error",
-    ).fit(df)
+def sparse_vector(size: Column, slots: Column) -> Column:
+    """A vector of ``size`` with 1 in each of the ascending ``slots``."""
+    # A vector's stored form is a struct; reading it back from JSON makes the vector.
+    ones = F.transform(slots, lambda _: F.lit(1.0))
+    stored = F.struct(F.lit(0).alias("type"), size.alias("size"), slots.alias("indices"), ones.alias("values"))
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"]
 
 
 def one_hot(df: DataFrame, column: str = "movieId") -> DataFrame:
     """Add the id as ``<column>Number`` and its indicator as ``<column>Vector``.
 
-    The vector has one slot for every integer up to the largest id.
+    The vector has one slot for every integer up to the largest id. Its metadata
+    holds that number and no names, so that it costs the driver nothing. A null
+    id has no vector; a negative one is an error.
     """
     number, vector = f"{column}Number", f"{column}Vector"
     numbered = df.withColumn(number, F.col(column).cast("int"))
-    return fit_one_hot(numbered, number, vector).transform(numbered)
+    size = (numbered.agg(F.max(number)).first()[0] or 0) + 1
+    wrong = F.raise_error(F.concat(F.lit(f"negative {column}: "), F.col(number).cast("string"))).cast("int")
+    slot = F.when(F.col(number) >= 0, F.col(number)).otherwise(wrong)
+    indicator = F.when(F.col(number).isNotNull(), sparse_vector(F.lit(size), F.array(slot)))
+    return numbered.withColumn(vector, indicator.alias(vector, metadata={"ml_attr": {"num_attrs": size}}))
 
 
 def label_counts(df: DataFrame, column: str) -> DataFrame:
@@ -112,15 +116,7 @@ def _joined_multi_hot(exploded: DataFrame, key: str) -> DataFrame:
     size = index.count()
     slots = lookup_join(exploded.select(key, "genre"), index, "genre", "inner").groupBy(key)
     rows = slots.agg(F.array_sort(F.collect_set("__slot")).alias("genreIndexes")).withColumn("indexSize", F.lit(size))
-    # A vector's stored form is a struct; reading it back from JSON makes the vector.
-    stored = F.struct(
-        F.lit(0).alias("type"),
-        F.col("indexSize").alias("size"),
-        F.col("genreIndexes").alias("indices"),
-        F.transform("genreIndexes", lambda _: F.lit(1.0)).alias("values"),
-    )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    vector = F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"]
+    vector = sparse_vector(F.col("indexSize"), F.col("genreIndexes"))
     return rows.select(key, "genreIndexes", "indexSize", vector.alias("vector"))
 
 

@@ -13,6 +13,17 @@ def test_one_hot_size_is_largest_id_plus_one(spark):
     ]
 
 
+def test_one_hot_of_large_null_and_negative_ids(spark):
+    df = enc.one_hot(spark.createDataFrame([(7,), (10_000_000,), (None,)], "movieId long"))
+    assert df.schema["movieIdVector"].metadata == {"ml_attr": {"num_attrs": 10_000_001}}
+    found = {r.movieId: r.movieIdVector for r in df.collect()}
+    assert found[None] is None and found[7].size == 10_000_001
+    assert list(found[10_000_000].indices) == [10_000_000] and list(found[7].values) == [1.0]
+    with pytest.raises(Exception, match="negative movieId"):
+        enc.one_hot(spark.createDataFrame([(-1,), (3,)], "movieId long")).collect()
+    assert enc.one_hot(spark.createDataFrame([], "movieId long")).collect() == []
+
+
 def test_multi_hot(spark):
     items = [(1, "A|B"), (2, "B"), (3, "C|B|B"), (4, None)]
     df = enc.multi_hot(spark.createDataFrame(items, "movieId long, genres string"))
