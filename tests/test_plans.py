@@ -1,5 +1,3 @@
-import re
-
 import pytest
 
 from tastemill.plans import registry as reg
@@ -47,13 +45,3 @@ def test_scans_read_only_needed_columns(spark, folder):
 def test_positive_filter_is_applied_at_the_scan(spark, folder):
     text = plan(reg.item_pairs(spark, folder))
     assert "PushedFilters" in text
-
-
-def test_walk_edges_are_placed_once(spark, folder):
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(reg.order_random_walks(spark, folder))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    assert not re.search(r"Exchange hashpartitioning\(src#\d+L?, cell#", text)
