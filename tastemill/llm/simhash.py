@@ -237,7 +237,11 @@ def one_of_each(documents: DataFrame, *, id_column: str = "doc_id", **limits: in
 
     Of several rows with that id one stays. A component without any id keeps one row.
     """
-    found = near_duplicates(documents, id_column=id_column, **limits)
+    return first_of_each(documents, near_duplicates(documents, id_column=id_column, **limits), id_column)
+
+
+def first_of_each(documents: DataFrame, found: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """As ``one_of_each``, for components ``found`` as ``near_duplicates`` gives them."""
     first = saved(found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy(id_column, "fingerprint").count())
     # The fingerprint tells apart rows without an id.
     repeated = not first.groupBy(id_column).agg(F.sum("count").alias("n")).where("n > 1").isEmpty()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.llm import bpe, chat, components, decontaminate, html_blocks, pii, quality, simhash, substrings
+from tastemill.llm import bpe, chat, components, decontaminate, html_blocks, pii, quality, shingles, simhash, substrings
 from tastemill.llm import syncmers, url_rules
 from tastemill.llm.queries import QUERIES, VOCABULARY
 
@@ -159,6 +159,56 @@ def test_simhash_components(documents, rows, none):
     assert kept.where("doc_id is not null").count() == len(set(least.values()))
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("part_shingles", [1_000_000, 500])
+def test_groups_of_similar_shingles(spark, documents, rows, none, part_shingles):
+    random.seed(13)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    made = []
+    for i in range(60):
+        base = [word() for _ in range(random.choice([3, 6, 12, 18, 60, 200]))]
+        made.append(base)
+        for _ in range(4):
+            # From about 0.6 to 1: words cut at the end, and a few changed.
+            near = base[: round(len(base) * random.uniform(0.75, 1))]
+            for _ in range(random.choice([0, 0, 1, 2])):
+                near[random.randrange(len(near))] = word()
+            made.append(near)
+    every = [(r[0], r[1]) for r in rows] + [(1000 + i, " ".join(w)) for i, w in enumerate(made)]
+    frame = documents.select("doc_id", "text").unionByName(spark.createDataFrame(every[len(rows) :], "doc_id long, text string"))
+    sets = {t: five_words(t) for _, t in every}
+    like = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    names = sorted(sets, key=str)
+    root = brute_components([(names.index(a), names.index(b)) for a in names for b in names if like(sets[a], sets[b])])
+    least = {}
+    for i, t in every:
+        if i is not None:
+            least[root[names.index(t)]] = min(i, least.get(root[names.index(t)], i))
+    found = shingles.similar_groups(frame, part_shingles=part_shingles).collect()
+    expected = [str((i, least.get(root[names.index(t)]))) for i, t in every]
+    assert sorted(str((r.doc_id, r.component_id)) for r in found) == sorted(expected)
+    assert shingles.similar_groups(none).count() == 0
+    kept = shingles.one_of_each_group(frame.withColumn("root", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "root"]
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
+
+
+def test_near_duplicate_stage_of_short_and_edited_texts(spark):
+    import corpus_pipeline
+
+    words = [f"word{i}" for i in range(120)]
+    edited = [w if i not in (20, 70) else "other" for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(edited), " ".join(words[:18]), " ".join(words[:17]), " ".join(words[40:55])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # 0 and 1 share 0.84 of their shingles in the middle of the text, 2 and 3 are short.
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
+
+
 def brute_hits(rows, items, window):
     windows = {}
     for item, text in items:
