@@ -6,7 +6,8 @@
    with each combination of votes, which Spark counts.
 3. Posterior labels, as weights, train a linear scorer on hashed word shapes.
 
-Every document is then scored by the linear scorer.
+Every document is then scored by the linear scorer. Toxicity is a question of its
+own, with labellers and a scorer of its own: see ``toxicity.py``.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import map_text, saved
+from tastemill.llm.toxicity import VOTES, WORD_SLOTS, Toxicity, fitted as fitted_toxicity, insult_votes, words_of
 
 # Size of the hashed feature space.
 SLOTS = 256
@@ -92,17 +94,22 @@ def describe(text: str | None, slots: dict[bytes, int]) -> tuple[list[int], list
 
 
 def described(documents: DataFrame, *, features: bool, id_column: str = "doc_id") -> DataFrame:
-    """The id, the labellers' counts and, if asked for, the feature vector of every row."""
+    """The id, the labellers' counts and the feature vector, or else the votes on toxicity, of every row."""
     slots: dict[bytes, int] = {}
 
     def make(block: pa.RecordBatch) -> dict[str, object]:
-        rows = [describe(t, slots) for t in block.column("text").to_pylist()]
+        texts = block.column("text").to_pylist()
+        rows = [describe(t, slots) for t in texts]
         made = {name: [counts[i] for counts, _ in rows] for i, name in enumerate(STATS)}
-        return made | {id_column: block.column(id_column)} | ({"features": [f for _, f in rows]} if features else {})
+        if features:
+            return made | {id_column: block.column(id_column), "features": [f for _, f in rows]}
+        insults = [insult_votes(words_of(t)) for t in texts]
+        return made | {id_column: block.column(id_column)} | {v: [c[i] for c in insults] for i, v in enumerate(VOTES)}
 
     kind = documents.schema[id_column].dataType.simpleString()
     schema = f"{id_column} {kind}, " + ", ".join(f"{s} bigint" for s in STATS)
-    return map_text(documents, [id_column, "text"], schema + ", features array<double>" * features, make)
+    more = "features array<double>" if features else ", ".join(f"{v} tinyint" for v in VOTES)
+    return map_text(documents, [id_column, "text"], f"{schema}, {more}", make)
 
 
 def votes() -> dict[str, Column]:
@@ -167,15 +174,23 @@ def _posterior_column(prior: float, table: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-reduce(add, terms)))
 
 
-def _fit(documents: DataFrame, fit_rows: int, id_column: str) -> tuple[float, np.ndarray, np.ndarray, float] | None:
-    """Prior, vote table, and the scorer's weights and bias; None without documents."""
-    names = list(votes())
-    counted = described(documents, features=False, id_column=id_column).withColumns(votes()).groupBy(*names).count().collect()
-    if not counted:
+def _fit(
+    documents: DataFrame, toxic_labels: DataFrame | None, fit_rows: int, id_column: str
+) -> tuple[float, np.ndarray, np.ndarray, float, Toxicity] | None:
+    """Prior, vote table, the scorer's weights and bias, and what toxicity needs; None without documents."""
+    names = [*votes(), *VOTES]
+    rows = described(documents, features=False, id_column=id_column).withColumns(votes()).groupBy(*names).count().collect()
+    if not rows:
         return None
-    counted.sort()
-    n = sum(r["count"] for r in counted)
-    prior, table = accuracies([(tuple(r)[:-1], r["count"]) for r in counted])
+    n = sum(r["count"] for r in rows)
+    cast, insults = Counter(), Counter()
+    for r in rows:
+        cast[tuple(r)[: -1 - len(VOTES)]] += r["count"]
+        insults[tuple(r)[-1 - len(VOTES) : -1]] += r["count"]
+    prior, table = accuracies(sorted(cast.items()))
+    clean = posterior(np.array(sorted(insults), int), *accuracies(sorted(insults.items())))
+    by_votes = {v: (1 - float(p), insults[v]) for v, p in zip(sorted(insults), clean)}
+    toxic = fitted_toxicity(documents, toxic_labels, by_votes, fit_rows, id_column)
 
     # The sample goes by the hash of the id, so reruns take the same rows.
     share = min(1.0, fit_rows / n)
@@ -198,14 +213,14 @@ def _fit(documents: DataFrame, fit_rows: int, id_column: str) -> tuple[float, np
         ).select("features", "as.label", "as.weight")
     )
     if rows.isEmpty():
-        return prior, table, np.zeros(SLOTS), math.log(prior) - math.log(1 - prior)
+        return prior, table, np.zeros(SLOTS), math.log(prior) - math.log(1 - prior), toxic
     model = LogisticRegression(weightCol="weight", regParam=1e-5, maxIter=60, standardization=False).fit(rows)
-    return prior, table, model.coefficients.toArray(), float(model.intercept)
+    return prior, table, model.coefficients.toArray(), float(model.intercept), toxic
 
 
-def _scorer(documents: DataFrame, weights: np.ndarray, bias: float):
-    """A function from a text to its counts and score, for the workers."""
-    shared = documents.sparkSession.sparkContext.broadcast((weights, bias))
+def _scorer(documents: DataFrame, weights: np.ndarray, bias: float, toxic: Toxicity):
+    """A function from a text to its counts and score, and one for its toxicity, for the workers."""
+    shared = documents.sparkSession.sparkContext.broadcast((weights, bias, toxic.by_votes, toxic.weights, toxic.bias))
     slots: dict[bytes, int] = {}
 
     def score(text: str | None) -> tuple[list[int], float]:
@@ -213,32 +228,49 @@ def _scorer(documents: DataFrame, weights: np.ndarray, bias: float):
         odds = float(np.dot(features, shared.value[0])) + shared.value[1]
         return counts, round(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), 6)
 
-    return score
+    def toxic_score(text: str | None) -> tuple[tuple[int, int], float, bool]:
+        return Toxicity(*shared.value[2:]).score(text)
+
+    return score, toxic_score
 
 
 def quality_scores(
-    documents: DataFrame, *, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM, id_column: str = "doc_id"
+    documents: DataFrame,
+    toxic_labels: DataFrame | None = None,
+    *,
+    fit_rows: int = FIT_ROWS,
+    keep_from: float = KEEP_FROM,
+    id_column: str = "doc_id",
 ) -> DataFrame:
     """Score every document.
 
     Columns: the id; one vote column per labeller; ``weak_label``, the posterior
     of good given the votes; ``score``, the linear scorer's probability of good,
-    to six digits; ``keep``, whether it reaches ``keep_from``. A null text counts
+    to six digits; ``keep``, whether it reaches ``keep_from``; the votes on
+    toxicity, ``toxic_score``, the probability of toxic by the words, and
+    ``toxic``. ``keep`` is about form only: a well-formed toxic text has both
+    ``keep`` and ``toxic``. ``toxic_labels`` (the id and ``toxic``) need not
+    cover every document. A null text counts
     as empty: no labeller votes on it for good, and its features are zero.
     Repeated rows stay repeated and get equal scores, null ids stay null. An
     empty table gives an empty one. Other columns are not read.
     """
-    fitted = _fit(documents, fit_rows, id_column)
-    prior, table, weights, bias = fitted or (0.5, np.full((len(votes()), 2, 2), 0.5), np.zeros(SLOTS), 0.0)
-    score = _scorer(documents, weights, bias)
+    fitted = _fit(documents, toxic_labels, fit_rows, id_column)
+    nothing = Toxicity({}, np.zeros(WORD_SLOTS), 0.0)
+    prior, table, weights, bias, toxic = fitted or (0.5, np.full((len(votes()), 2, 2), 0.5), np.zeros(SLOTS), 0.0, nothing)
+    score, toxic_score = _scorer(documents, weights, bias, toxic)
 
     def make(block: pa.RecordBatch) -> dict[str, object]:
-        rows = [score(t) for t in block.column("text").to_pylist()]
+        texts = block.column("text").to_pylist()
+        rows, found = [score(t) for t in texts], [toxic_score(t) for t in texts]
         made = {name: [counts[i] for counts, _ in rows] for i, name in enumerate(STATS)}
+        made |= {name: [cast[i] for cast, _, _ in found] for i, name in enumerate(VOTES)}
+        made |= {"toxic_score": [s for _, s, _ in found], "toxic": [t for _, _, t in found]}
         return made | {id_column: block.column(id_column), "score": [s for _, s in rows]}
 
     kind = documents.schema[id_column].dataType.simpleString()
-    schema = f"{id_column} {kind}, " + ", ".join(f"{s} bigint" for s in STATS) + ", score double"
+    schema = f"{id_column} {kind}, " + ", ".join(f"{s} bigint" for s in STATS) + ", score double, "
+    schema += ", ".join(f"{v} tinyint" for v in VOTES) + ", toxic_score double, toxic boolean"
     return (
         map_text(documents, [id_column, "text"], schema, make)
         .withColumns(votes())
@@ -248,21 +280,29 @@ def quality_scores(
             F.round(_posterior_column(prior, table), 6).alias("weak_label"),
             "score",
             (F.col("score") >= keep_from).alias("keep"),
+            *VOTES,
+            "toxic_score",
+            "toxic",
         )
     )
 
 
 def good_documents(
-    documents: DataFrame, *, fit_rows: int = FIT_ROWS, keep_from: float = KEEP_FROM, id_column: str = "doc_id"
+    documents: DataFrame,
+    toxic_labels: DataFrame | None = None,
+    *,
+    fit_rows: int = FIT_ROWS,
+    keep_from: float = KEEP_FROM,
+    id_column: str = "doc_id",
 ) -> DataFrame:
-    """The rows of ``documents`` that ``quality_scores`` keeps, with all their columns."""
-    fitted = _fit(documents, fit_rows, id_column)
+    """The rows of ``documents`` that ``quality_scores`` keeps and doesn't call toxic, with all their columns."""
+    fitted = _fit(documents, toxic_labels, fit_rows, id_column)
     if fitted is None:
         return documents
-    score, names = _scorer(documents, *fitted[2:]), documents.columns
+    (score, toxic_score), names = _scorer(documents, *fitted[2:]), documents.columns
 
     def make(block: pa.RecordBatch) -> dict[str, object]:
-        good = pa.array([score(t)[1] >= keep_from for t in block.column("text").to_pylist()], pa.bool_())
+        good = pa.array([score(t)[1] >= keep_from and not toxic_score(t)[2] for t in block.column("text").to_pylist()], pa.bool_())
         kept = block.filter(good)
         return {name: kept.column(name) for name in names}
 

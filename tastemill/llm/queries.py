@@ -31,7 +31,7 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.quality_scores(table(spark, folder, "documents"))
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -303,6 +303,26 @@ def test_quality_against_labels(spark, none):
     assert quality.quality_scores(none).count() == 0 and quality.good_documents(none).count() == 0
 
 
+def test_toxic_texts_are_told_from_clean_ones(spark):
+    random.seed(3)
+    word = lambda: "".join(random.choice("aeioulmnrst") for _ in range(6))
+    made = []
+    for i in range(240):
+        words = ["the", "of", "and"] * 10 + [word() for _ in range(60)]
+        # No list of insults has the word of the second kind; only labels tell it.
+        words += [[], ["idiot,", "Stupid"], ["grumblo", "zwackel", "grumblo"]][i % 3]
+        random.shuffle(words)
+        made.append((i, " ".join(words), int(i % 3 > 0)))
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    labels = frame.where("doc_id < 160").select("doc_id", "toxic")
+    found = {r.doc_id: r for r in quality.quality_scores(frame.drop("toxic"), labels).collect()}
+    assert all(found[i].toxic == bool(t) for i, _, t in made)
+    listed = {r.doc_id: r.toxic for r in quality.quality_scores(frame.drop("toxic")).collect()}
+    assert all(listed[i] for i in range(1, 240, 3)) and not any(listed[i] for i in range(0, 240, 3))
+    kept = quality.good_documents(frame.drop("toxic"), labels)
+    assert kept.columns == ["doc_id", "text"] and not any(r.doc_id % 3 for r in kept.collect())
+
+
 def test_quality_of_awkward_rows(documents, rows):
     scored = quality.quality_scores(documents)
     assert scored.count() == len(rows) and scored.where("score is null").isEmpty()
