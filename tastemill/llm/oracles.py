@@ -20,5 +20,47 @@ FROM m LEFT JOIN (SELECT DISTINCT conv_id, turn, role FROM conversations) p
   ON p.conv_id = m.conv_id
   AND ((m.role = 'user' AND p.role = 'assistant' AND p.turn = m.turn + 1)
     OR (m.role = 'assistant' AND p.role = 'user' AND p.turn = m.turn - 1))
+""",
+    "op11_fill_in_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS h FROM documents),
+u AS (SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+  ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM h),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_collocations": """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+pairs AS (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w)),
+f AS (SELECT lang, x || ' ' || y AS gram, count(*) AS c, 2 AS size FROM pairs GROUP BY lang, x, y HAVING count(*) >= 100
+  UNION ALL SELECT lang, x, count(*), 1 FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x HAVING count(*) >= 100
+  UNION ALL SELECT lang, gram, count(*), size FROM (
+    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS gram, size FROM (
+      SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (3), (4), (5)) s(size) WHERE len(w) >= size))
+  GROUP BY lang, gram, size HAVING count(*) >= 100),
+g AS (SELECT *, string_split(gram, ' ') AS ws FROM f),
+onward AS (SELECT lang, gram, max(c) AS c FROM (
+    SELECT lang, array_to_string(ws[1:size - 1], ' ') AS gram, c FROM g WHERE size > 2
+    UNION ALL SELECT lang, array_to_string(ws[2:size], ' '), c FROM g WHERE size > 2) GROUP BY lang, gram),
+held AS (SELECT g.* FROM g LEFT JOIN onward o ON g.lang = o.lang AND g.gram = o.gram WHERE g.size > 1 AND (o.c IS NULL OR o.c < g.c)),
+cuts AS (SELECT lang, gram, c, k, array_to_string(ws[1:k], ' ') AS first, array_to_string(ws[k + 1:size], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM held)),
+scored AS (SELECT c.lang, c.gram, c.c AS a, n.n, k, l.c AS l, r.c AS r, (1000::HUGEINT * c.c * n.n) // (l.c::HUGEINT * r.c) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.gram = c.first JOIN f r ON r.lang = c.lang AND r.gram = c.rest JOIN n ON n.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram)::BIGINT AS rank, gram AS phrase,
+  a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) <= 2000
 """,
 }

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from tastemill.llm import (
     bpe,
     chat,
+    collocations,
     decontaminate,
+    fill_middle,
     html_blocks,
+    jaccard_join,
     pii,
     quality,
     simhash,
@@ -98,6 +101,28 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extracted(table(spark, folder, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def op12_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_sets(table(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,5 +136,8 @@ QUERIES = {
         op8_syncmers,
         op9_decontamination,
         op10_html,
+        op11_fill_in_middle,
+        op12_jaccard_join,
+        op13_collocations,
     )
 }
