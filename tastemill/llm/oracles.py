@@ -38,17 +38,21 @@ SELECT doc_id, n, form,
 FROM p
 """,
     "op13_collocations": """
-WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
-    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
-w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || chr(9), 'abcdefghijklmnopqrstuvwxyz......... '), '.')) AS piece FROM documents),
+w AS (SELECT lang, row_number() OVER () AS p, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM pieces),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
-pairs AS (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM w)),
-f AS (SELECT lang, x || ' ' || y AS gram, count(*) AS c, 2 AS size FROM pairs GROUP BY lang, x, y HAVING count(*) >= 100
+pairs AS MATERIALIZED (SELECT lang, p, i, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, p, w, unnest(range(1, len(w))) AS i FROM w)),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS c FROM pairs GROUP BY lang, x, y HAVING count(*) >= 100),
+o2 AS MATERIALIZED (SELECT lang, p, i, x || ' ' || y AS gram, y FROM pairs SEMI JOIN f2 USING (lang, x, y)),
+o3 AS MATERIALIZED (SELECT a.lang, a.p, a.i, a.gram || ' ' || b.y AS gram FROM o2 a JOIN o2 b ON a.p = b.p AND a.i + 1 = b.i),
+o4 AS MATERIALIZED (SELECT a.lang, a.p, a.i, a.gram || ' ' || b.y AS gram FROM o3 a JOIN o2 b ON a.p = b.p AND a.i + 2 = b.i),
+o5 AS (SELECT a.lang, a.gram || ' ' || b.y AS gram FROM o4 a JOIN o2 b ON a.p = b.p AND a.i + 3 = b.i),
+f AS MATERIALIZED (SELECT lang, x || ' ' || y AS gram, c, 2 AS size FROM f2
   UNION ALL SELECT lang, x, count(*), 1 FROM (SELECT lang, unnest(w) AS x FROM w) GROUP BY lang, x HAVING count(*) >= 100
-  UNION ALL SELECT lang, gram, count(*), size FROM (
-    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS gram, size FROM (
-      SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (3), (4), (5)) s(size) WHERE len(w) >= size))
-  GROUP BY lang, gram, size HAVING count(*) >= 100),
+  UNION ALL SELECT lang, gram, count(*), 3 FROM o3 GROUP BY lang, gram HAVING count(*) >= 100
+  UNION ALL SELECT lang, gram, count(*), 4 FROM o4 GROUP BY lang, gram HAVING count(*) >= 100
+  UNION ALL SELECT lang, gram, count(*), 5 FROM o5 GROUP BY lang, gram HAVING count(*) >= 100),
 g AS (SELECT *, string_split(gram, ' ') AS ws FROM f),
 onward AS (SELECT lang, gram, max(c) AS c FROM (
     SELECT lang, array_to_string(ws[1:size - 1], ' ') AS gram, c FROM g WHERE size > 2
