@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import map_text, saved
-from tastemill.llm.toxicity import VOTES, WORD_SLOTS, Toxicity, fitted as fitted_toxicity, insult_votes, words_of
+from tastemill.llm.toxicity import VOTES, Toxicity, fitted as fitted_toxicity, insult_votes, no_words, words_of
 
 # Size of the hashed feature space.
 SLOTS = 256
@@ -220,7 +220,7 @@ def _fit(
 
 def _scorer(documents: DataFrame, weights: np.ndarray, bias: float, toxic: Toxicity):
     """A function from a text to its counts and score, and one for its toxicity, for the workers."""
-    shared = documents.sparkSession.sparkContext.broadcast((weights, bias, toxic.by_votes, toxic.weights, toxic.bias))
+    shared = documents.sparkSession.sparkContext.broadcast((weights, bias, toxic.by_votes, toxic.slots, toxic.weights, toxic.bias))
     slots: dict[bytes, int] = {}
 
     def score(text: str | None) -> tuple[list[int], float]:
@@ -256,8 +256,7 @@ def quality_scores(
     empty table gives an empty one. Other columns are not read.
     """
     fitted = _fit(documents, toxic_labels, fit_rows, id_column)
-    nothing = Toxicity({}, np.zeros(WORD_SLOTS), 0.0)
-    prior, table, weights, bias, toxic = fitted or (0.5, np.full((len(votes()), 2, 2), 0.5), np.zeros(SLOTS), 0.0, nothing)
+    prior, table, weights, bias, toxic = fitted or (0.5, np.full((len(votes()), 2, 2), 0.5), np.zeros(SLOTS), 0.0, no_words({}, 0.0))
     score, toxic_score = _scorer(documents, weights, bias, toxic)
 
     def make(block: pa.RecordBatch) -> dict[str, object]:

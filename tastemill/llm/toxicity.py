@@ -15,6 +15,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,11 @@ SLOT_BITS = 20
 WORD_SLOTS = 1 << SLOT_BITS
 BEGINNING = 7
 TOXIC_FROM = 0.5
-REGULAR, ROUNDS, STEP = 1e-6, 80, 1.0
+REGULAR, ROUNDS = 3e-6, 80
 # A slot takes part if it is in so many toxic texts, so many standard deviations above chance.
 LEAST_TEXTS, LEAST_DEVIATION = 3, 4.0
 # Documents that the scorer is fitted on, at most about so many with a label and so many without:
-# a sample by hash; the driver holds its entries of the telling slots only.
+# a sample by hash, which stays in Spark: only the telling slots and their weights come to the driver.
 FIT_ROWS = 8_000
 VOTES = ("by_insults", "by_insult_kinds")
 # ASCII letters and all of non-ASCII stay; signs beyond ASCII that stand beside words are blanks too.
@@ -73,35 +75,48 @@ def slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Toxicity:
-    """What was fitted: P(toxic) for each combination of votes, and the scorer's weights and bias."""
+    """What was fitted: P(toxic) for each combination of votes, the scorer's slots, sorted, their weights and its bias."""
 
-    def __init__(self, by_votes: dict[tuple[int, int], float], weights: np.ndarray, bias: float):
-        self.by_votes, self.weights, self.bias = by_votes, weights, bias
+    def __init__(self, by_votes: dict[tuple[int, int], float], slots: np.ndarray, weights: np.ndarray, bias: float):
+        self.by_votes, self.slots, self.weights, self.bias = by_votes, slots, weights, bias
 
     def score(self, text: str | None) -> tuple[tuple[int, int], float, bool]:
         """The votes, the scorer's probability of toxic, and whether it or the votes' reach TOXIC_FROM."""
         words = words_of(text)
         cast = insult_votes(words)
         found, values = slots(words)
-        odds = float(np.dot(values, self.weights[found])) + self.bias
+        odds = self.bias
+        if len(self.slots):
+            at = np.minimum(np.searchsorted(self.slots, found), len(self.slots) - 1)
+            odds += float(np.dot(values, np.where(self.slots[at] == found, self.weights[at], 0.0)))
         score = round(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))), 6)
         return cast, score, score >= TOXIC_FROM or self.by_votes.get(cast, 0.0) >= TOXIC_FROM
 
 
-def fit_words(row: np.ndarray, slot: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic weights and bias from entries of the sample, by gradient steps that are scaled for each slot (AdaGrad)."""
-    weights, squares = np.zeros(WORD_SLOTS), np.full(WORD_SLOTS, 1e-12)
-    share = min(max(float(toxic.mean()), 1e-3), 1 - 1e-3)
-    bias, bias_square = math.log(share / (1 - share)), 1e-12
-    for _ in range(ROUNDS):
-        odds = np.bincount(row, value * weights[slot], len(toxic)) + bias
-        wrong = (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - toxic) / len(toxic)
-        slope = np.bincount(slot, value * wrong[row], WORD_SLOTS) + REGULAR * weights
-        squares += slope**2
-        weights -= STEP * slope / np.sqrt(squares)
-        bias_square += wrong.sum() ** 2
-        bias -= STEP * wrong.sum() / math.sqrt(bias_square)
-    return weights, bias
+def no_words(by_votes: dict[tuple[int, int], float], bias: float) -> Toxicity:
+    """A scorer that knows no word."""
+    return Toxicity(by_votes, np.empty(0, np.int64), np.empty(0), bias)
+
+
+def fit_words(rows: DataFrame, entries: DataFrame, telling: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic weights of the ``telling`` slots and the bias.
+
+    ``rows`` has a number ``row`` and ``toxic``, a probability; ``entries`` has
+    ``row``, the place ``at`` of a slot among the telling ones, and its ``share``.
+    Both classes of a row take part with their probabilities as weights.
+    """
+    n = len(telling)
+    sparse = F.udf(lambda held: Vectors.sparse(n, [(at, share) for at, share in held or ()]), VectorUDT())
+    # Only what a text holds of the telling slots is gathered, which its own words bound.
+    held = entries.groupBy("row").agg(F.collect_list(F.struct("at", "share")).alias("held"))
+    classes = F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("toxic").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (1 - F.col("toxic")).alias("weight")),
+    )
+    made = rows.join(held, "row", "left").select(sparse("held").alias("features"), F.explode(classes).alias("as"))
+    made = saved(made.select("features", "as.label", "as.weight").where("weight > 0"))
+    model = LogisticRegression(weightCol="weight", regParam=REGULAR, maxIter=ROUNDS, standardization=False).fit(made)
+    return model.coefficients.toArray(), float(model.intercept)
 
 
 def _chosen(frame: DataFrame, share: float, id_column: str) -> DataFrame:
@@ -153,24 +168,21 @@ def fitted(
 
     rows = map_text(rows, ["text", "told"], "slots array<int>, shares array<double>, toxic double", make)
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
-    told = rows.select("row", "toxic").collect()
-    toxic = np.array([r.toxic for r in told])
+    clean, share, worst = rows.agg(F.min("toxic"), F.avg("toxic"), F.max("toxic")).first()
     # Without examples of both kinds the votes decide alone.
-    if not (toxic >= TOXIC_FROM).any() or not (toxic < TOXIC_FROM).any():
-        return Toxicity(chance, np.zeros(WORD_SLOTS), -30.0)
+    if worst is None or worst < TOXIC_FROM or clean >= TOXIC_FROM:
+        return no_words(chance, -30.0)
     entries = rows.select("row", "toxic", F.explode(F.arrays_zip("slots", "shares")).alias("e"))
     entries = entries.select("row", "toxic", F.col("e.slots").alias("slot"), F.col("e.shares").alias("share"))
     # Most words occur in few texts and would only be learnt by heart.
-    share = float(toxic.mean())
     counted = entries.groupBy("slot").agg(F.sum("toxic").alias("among"), F.count(F.lit(1)).alias("held"))
     above = F.col("among") - F.col("held") * share
-    telling = counted.where((F.col("among") >= LEAST_TEXTS) & (above > LEAST_DEVIATION * F.sqrt(F.col("held") * share * (1 - share))))
-    telling = saved(telling.select("slot"))
-    place = {r.row: i for i, r in enumerate(told)}
-    found = entries.join(F.broadcast(telling), "slot", "left_semi").select("row", "slot", "share").collect()
-    return Toxicity(
-        chance,
-        *fit_words(
-            np.array([place[r.row] for r in found], int), np.array([r.slot for r in found], int), np.array([r.share for r in found], float), toxic
-        ),
-    )
+    told = counted.where((F.col("among") >= LEAST_TEXTS) & (above > LEAST_DEVIATION * F.sqrt(F.col("held") * share * (1 - share))))
+    # No more than WORD_SLOTS numbers, whatever the corpus.
+    telling = np.sort(told.select("slot").toArrow()["slot"].to_numpy()).astype(np.int64)
+    if not len(telling):
+        return no_words(chance, math.log(share / (1 - share)))
+    spark = documents.sparkSession
+    places = spark.createDataFrame(pa.table({"slot": telling.astype(np.int32), "at": np.arange(len(telling))}))
+    placed = entries.join(F.broadcast(places), "slot").select("row", "at", "share")
+    return Toxicity(chance, telling, *fit_words(rows.select("row", "toxic"), placed, telling))
