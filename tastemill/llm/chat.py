@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import saved
+from tastemill.operators.skew import lookup_join
 
 KEYS = ["conv_id", "turn", "role", "text"]
 CALL = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
@@ -52,12 +53,13 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_set(F.struct("parameter", "type")))).alias("types"),
         F.sort_array(F.collect_set(F.when(F.col("required"), F.col("parameter")))).alias("required"),
     )
-    variant = F.try_parse_json("arguments")
-    kinds = F.from_json(F.to_json(variant), "map<string,string>")
+    # Members by name, each as canonical JSON, so that strings keep their quotes; any name will do.
+    members = F.from_json(canonical(F.col("arguments")), "map<string,variant>")
+    members = F.transform_values(members, lambda _, value: F.to_json(value))
 
     def right(name: Column, wanted: Column) -> Column:
         # A value's type is read off its canonical JSON.
-        value = F.get(F.filter("raw", lambda e: e["key"] == name), 0)["value"]
+        value = F.try_element_at("members", name)
         return (
             F.when(wanted == "string", value.startswith('"'))
             .when(wanted == "integer", value.rlike(r"^-?[0-9]+$"))
@@ -68,50 +70,61 @@ def checked(calls: DataFrame, schemas: DataFrame) -> DataFrame:
             .otherwise(False)
         )
 
-    names = F.map_keys(kinds)
-    raw = F.transform(
-        names,
-        lambda k: F.struct(
-            k.alias("key"),
-            # One member alone, from the parsed value, so strings keep their quotes.
-            F.to_json(F.try_variant_get(F.try_parse_json("arguments"), F.concat(F.lit("$['"), k, F.lit("']")), "variant")).alias("value"),
-        ),
-    )
-    given = calls.join(per_tool, "name", "left").withColumn("names", names).withColumn("raw", raw)
+    given = lookup_join(calls, per_tool, "name").withColumn("members", members).withColumn("names", F.map_keys("members"))
     valid = (
         F.col("types").isNotNull()
         & F.col("names").isNotNull()
         & (F.size(F.array_except("required", "names")) == 0)
         & (F.size(F.array_except("names", F.map_keys("types"))) == 0)
-        & F.forall("names", lambda k: F.coalesce(right(k, F.get(F.map_values("types"), F.array_position(F.map_keys("types"), k).cast("int") - 1)), F.lit(False)))
+        & F.forall("names", lambda k: F.coalesce(right(k, F.try_element_at("types", k)), F.lit(False)))
     )
-    return given.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("types", "required", "names", "raw")
+    return given.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("types", "required", "names", "members")
 
 
 def depths(calls: DataFrame) -> DataFrame:
     """``depth`` of each call: 0 after nothing, else one more than the deepest it comes after.
 
-    One round per step of the longest chain; each is a join by conversation and
-    identifier. Unknown identifiers don't count, and calls in a cycle, or after
-    one, have no depth.
+    Calls after one other form chains, which are followed by doubling the distance at
+    each round, down to a call after none or several. Those are then settled level by level: one round for
+    each call after several others on the longest chain. Each round is a join by conversation and identifier. Unknown
+    identifiers don't count, and calls in a cycle, or after one, have no depth.
     """
-    nodes = calls.select("conv_id", "id").distinct()
-    needs = saved(
-        calls.select("conv_id", "id", F.explode("after").alias("needed"))
-        .distinct()
-        .join(nodes.withColumnRenamed("id", "needed"), ["conv_id", "needed"], "left_semi")
-    )
-    done = saved(nodes.join(needs, ["conv_id", "id"], "left_anti").withColumn("depth", F.lit(0)))
-    found, depth = done, 0
-    while not needs.isEmpty() and not done.isEmpty():
-        depth += 1
-        met = done.select("conv_id", F.col("id").alias("needed"))
-        left = saved(needs.join(met, ["conv_id", "needed"], "left_anti"))
-        waiting = left.select("conv_id", "id").distinct()
-        done = needs.select("conv_id", "id").distinct().join(waiting, ["conv_id", "id"], "left_anti")
-        done = saved(done.withColumn("depth", F.lit(depth)))
-        found, needs = found.unionByName(done), left
-    return found
+    key = ["conv_id", "id"]
+    nodes = calls.select(*key).distinct()
+    known = nodes.withColumnRenamed("id", "needed")
+    needs = calls.select(*key, F.explode("after").alias("needed")).distinct().join(known, ["conv_id", "needed"], "left_semi")
+    counted = needs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed"))
+    needs, single = saved(needs), saved(counted.where("n = 1").select(*key, F.col("needed").alias("end"), F.lit(1).alias("steps")))
+    # An end that has one need itself can be moved on; in a cycle that never stops.
+    longest = single.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    for _ in range(longest.bit_length() + 1):
+        onward = single.select("conv_id", F.col("id").alias("end"), F.col("end").alias("next"), F.col("steps").alias("more"))
+        moved = single.join(onward, ["conv_id", "end"], "left")
+        moved = moved.select(*key, F.coalesce("next", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNull().alias("over"))
+        single = saved(moved)
+        if single.where("not over").isEmpty():
+            break
+    ends = single.where("over").select(*key, "end", "steps")
+    cyclic = single.where("not over").select(*key)
+    # What is left: calls after several others, each other one followed to the end of its chain.
+    several = needs.join(counted.where("n > 1").select(*key), key, "left_semi")
+    link = ends.select("conv_id", F.col("id").alias("needed"), "end", "steps")
+    waits = several.join(link, ["conv_id", "needed"], "left")
+    waits = waits.select(*key, F.coalesce("end", "needed").alias("end"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), "needed")
+    lost = cyclic.withColumnRenamed("id", "needed").withColumn("lost", F.lit(True))
+    waits = saved(waits.join(lost, ["conv_id", "needed"], "left").groupBy(*key, "end").agg(F.max("steps").alias("steps"), F.max("lost").alias("lost")))
+    done = saved(nodes.join(needs.select(*key).distinct(), key, "left_anti").withColumn("depth", F.lit(0)))
+    new = done
+    while not waits.isEmpty() and not new.isEmpty():
+        settled = waits.join(done.withColumnRenamed("id", "end"), ["conv_id", "end"], "left")
+        ready = settled.groupBy(*key).agg(
+            F.max(F.col("depth") + F.col("steps")).alias("depth"), F.bool_and(F.col("depth").isNotNull() & F.col("lost").isNull()).alias("ready")
+        )
+        new = saved(ready.where("ready").select(*key, "depth"))
+        waits = saved(waits.join(new, key, "left_anti"))
+        done = saved(done.unionByName(new))
+    chained = ends.join(done.withColumnRenamed("id", "end"), ["conv_id", "end"])
+    return done.unionByName(chained.select(*key, (F.col("depth") + F.col("steps")).cast("int").alias("depth")))
 
 
 def formatted(messages: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -415,6 +415,43 @@ def test_tool_calls(spark):
     assert chat.formatted(frame.limit(0), schemas).count() == 0
 
 
+def test_odd_argument_names(spark):
+    names = ["it's", 'say "x"', "a]b", "c.d", "e\\f", "$['g']", "", "é😀", "['", "null"]
+    schemas = [("find", n, "string", False) for n in names] + [("find", "n", "number", True), ("other", "x", "null", False)]
+    schemas = spark.createDataFrame(schemas, "name string, parameter string, type string, required boolean")
+    arguments = [{n: "x", "n": 1.5e3} for n in names] + [{n: 1, "n": 1} for n in names] + [{"n": "1"}, {"n": None}, [], "text", None, {"N": 1}]
+    calls = [{"id": f"{i:03}", "name": "find", "arguments": a} for i, a in enumerate(arguments)] + [{"id": "z", "name": "other", "arguments": {"x": None}}]
+    frame = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls}))], "conv_id long, turn long, role string, text string")
+    found = {r.call_id: r.valid for r in chat.formatted(frame, schemas).collect()}
+    assert found == {f"{i:03}": i < len(names) for i in range(len(arguments))} | {"z": False}
+
+
+def brute_depths(calls):
+    after = {}
+    for c, i, needs in calls:
+        after.setdefault((c, i), set()).update(needs)
+    after = {(c, i): {(c, n) for n in needs if (c, n) in after} for (c, i), needs in after.items()}
+    depth = {}
+    while ready := {k for k in after if k not in depth and all(n in depth for n in after[k])}:
+        depth |= {k: max((depth[n] + 1 for n in after[k]), default=0) for k in ready}
+    return depth
+
+
+def test_depths_of_long_chains_and_any_graph(spark):
+    random.seed(9)
+    calls = [(0, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(2_000)]
+    for c in range(1, 60):
+        size = random.randrange(1, 14)
+        for i in range(size):
+            # Now and then a need that closes a cycle.
+            needs = [f"n{random.randrange(size if random.random() < 0.1 else max(i, 1))}" for _ in range(random.choice([0, 1, 1, 1, 2, 3]))]
+            calls.append((c, f"n{i}", [n for n in needs if n != f"n{i}"] + ["unknown"] * (i % 2)))
+    calls += [(99, "own", ["own"]), (99, "behind", ["own"]), (99, "both", ["own", "free"]), (99, "free", [])]
+    frame = spark.createDataFrame(calls, "conv_id long, id string, after array<string>")
+    found = chat.depths(frame).collect()
+    assert {(r.conv_id, r.id): r.depth for r in found} == brute_depths(calls)
+
+
 def test_native_queries_have_no_python(spark, folder):
     for name in ("op1_url_filters", "op4_pii", "op7_chat", "op8_syncmers"):
         plan = QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
