@@ -29,7 +29,7 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NEVER_TEXT = RAW_TAGS | frozenset("head noscript template svg math object applet canvas audio video select button".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog header".split())
-# Words in class, id or role that name a page's furniture.
+# Words that name a page's furniture, as a class, id or role or at the end of one (cookie-notice).
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars aside rail menu menus nav "
     "navbar navigation breadcrumb breadcrumbs header masthead footer colophon cookie cookies consent gdpr notice notices alert popup "
@@ -37,6 +37,13 @@ BOILERPLATE_WORDS = frozenset(
     "comment comments discussion disqus replies reply respond widget toolbar pagination pager search form contentinfo "
     "complementary".split()
 )
+# After such words, or before these, the name is of furniture as well (comment-list, share-buttons).
+HOLDERS = frozenset(
+    "area bar block body box button buttons card cards column container content form icons inner item items left link links "
+    "list panel posts right section slot top bottom unit widget wrap wrapper".split()
+)
+# A name that begins so says what a page has or hasn't, not what the element is (with-sidebar).
+SAYING = frozenset("has have with without no not hide hidden show is in on enable disable after before".split())
 # A header within an article holds its title.
 ARTICLE_HEADERS = frozenset(["header", "masthead"])
 # An element closes these when it opens.
@@ -56,12 +63,15 @@ MARKUP = re.compile(
 )
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
+MAIN_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
+ARTICLES = re.compile(r"<(?:article|main)\b|role\s*=\s*[\"']?main\b", re.I)
 
 LONG = 140
 SHORT = 70
 MOST_LINKED = 0.4
 STOPS_HIGH = 0.12
 STOPS_LOW = 0.05
+SENTENCE_ENDS = re.compile(r"[.!?…。؟।]")
 
 
 @dataclass
@@ -72,8 +82,27 @@ class Block:
     article: int  # number of the article it is in, 0 for none
 
 
-def page_blocks(html: str) -> list[Block]:
-    """The page's text in blocks, with white space cut to single spaces."""
+def furniture_names(attributes: str) -> set[str]:
+    """The furniture words of an element's classes, ids and roles."""
+    found = set()
+    for names in NAMES.findall(attributes):
+        for name in " ".join(names).lower().split():
+            words = WORDS.findall(name)
+            if not words or words[0] in SAYING:
+                continue
+            if words[-1] in BOILERPLATE_WORDS:
+                found.add(words[-1])
+            elif words[0] in BOILERPLATE_WORDS and words[-1] in HOLDERS:
+                found.add(words[0])
+    return found
+
+
+def page_blocks(html: str, *, trust_names: bool = True, free_articles: bool = False) -> list[Block]:
+    """The page's text in blocks, with white space cut to single spaces.
+
+    Without ``trust_names``, classes and ids don't make furniture. With
+    ``free_articles``, an article or main element is none whatever stands around it by name.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = []  # tag, silent, boilerplate, article
     parts: list[str] = []
@@ -141,17 +170,19 @@ def page_blocks(html: str) -> list[Block]:
                     state = stack[-1] if stack else ("", False, False, 0)
                     break
         if tag in BLOCK_TAGS or tag in NEVER_TEXT or tag == "span":
-            names = {w for m in NAMES.findall(found[3]) for n in m for w in WORDS.findall(n.lower())} if found[3] else set()
-            furniture = names & BOILERPLATE_WORDS
+            furniture = furniture_names(found[3]) if found[3] and trust_names else set()
             if state[3] or tag in ("article", "main"):
                 furniture -= ARTICLE_HEADERS
             bad = bool(furniture) and tag not in ("body", "html", "main") or tag in BOILERPLATE_TAGS and not (tag == "header" and state[3])
-            article = state[3]
-            if not article and not state[2] and not bad and (tag in ("article", "main") or "main" in names and "role" in found[3]):
+            article, around = state[3], state[2]
+            own = tag in ("article", "main") or bool(MAIN_ROLE.search(found[3]))
+            if own and free_articles and not any(t in BOILERPLATE_TAGS for t, *_ in stack):
+                bad = around = False
+            if own and not article and not around and not bad:
                 articles += 1
                 article = articles
             if tag != "p":
-                state = (tag, state[1] or tag in NEVER_TEXT, state[2] or bad, article)
+                state = (tag, state[1] or tag in NEVER_TEXT, around or bad, article)
                 stack.append(state)
             elif bad and not state[2]:
                 # A paragraph of furniture ends at the next tag that closes it.
@@ -161,15 +192,27 @@ def page_blocks(html: str) -> list[Block]:
     return blocks
 
 
-def first_pass(block: Block) -> bool | None:
-    """Good, bad, or None if the block is ambiguous."""
+def density(block: Block) -> float:
+    return block.linked / len(block.text)
+
+
+def stop_share(block: Block) -> float:
+    words = block.text.lower().encode().split()
+    return sum(w.strip(b".,;:!?") in STOP_WORDS for w in words) / len(words)
+
+
+def first_pass(block: Block, known_language: bool = True) -> bool | None:
+    """Good, bad, or None if the block is ambiguous.
+
+    In a language whose stop words aren't known, long blocks are good that hold a sentence's end.
+    """
     if block.boilerplate:
         return False
-    density = block.linked / len(block.text)
-    words = block.text.lower().encode().split()
-    stops = sum(w.strip(b".,;:!?") in STOP_WORDS for w in words) / len(words)
-    if density > MOST_LINKED and not block.article:
+    if density(block) > MOST_LINKED and not block.article:
         return False
+    if len(block.text) >= LONG and not known_language and SENTENCE_ENDS.search(block.text):
+        return True
+    stops = stop_share(block)
     if len(block.text) >= LONG and stops >= STOPS_LOW:
         return True
     if len(block.text) >= SHORT and stops >= STOPS_HIGH:
@@ -181,7 +224,9 @@ def first_pass(block: Block) -> bool | None:
 
 def labels(blocks: list[Block]) -> list[bool]:
     """Both passes over a page's blocks."""
-    decided = [first_pass(b) for b in blocks]
+    long = [b for b in blocks if len(b.text) >= LONG and not b.boilerplate and density(b) <= MOST_LINKED]
+    known = not long or any(stop_share(b) >= STOPS_LOW for b in long)
+    decided = [first_pass(b, known) for b in blocks]
     if any(b.article for b in blocks):
         # The article's borders are decided: what stands outside is no main text.
         decided = [d if b.article else False for b, d in zip(blocks, decided)]
@@ -209,10 +254,25 @@ def labels(blocks: list[Block]) -> list[bool]:
     return out
 
 
+def good_blocks(blocks: list[Block]) -> list[str]:
+    return [b.text for b, good in zip(blocks, labels(blocks)) if good]
+
+
 def main_text(html: str | None) -> str:
-    """The blocks labelled good, in page order, two line ends between them."""
+    """The blocks labelled good, in page order, two line ends between them.
+
+    Names of elements can mislead. Where an article or main element lies within one that is
+    furniture by its name, and the page has no other, it counts. Where nothing is found, and a block that was furniture by
+    name reads as prose, names are left out of account.
+    """
     blocks = page_blocks(html or "")
-    return "\n\n".join(b.text for b, good in zip(blocks, labels(blocks)) if good)
+    if not any(b.article for b in blocks) and ARTICLES.search(html or ""):
+        freed = page_blocks(html or "", free_articles=True)
+        blocks = freed if any(b.article for b in freed) else blocks
+    found = good_blocks(blocks)
+    if not found and any(b.boilerplate and len(b.text) >= SHORT and stop_share(b) >= STOPS_HIGH and density(b) <= MOST_LINKED for b in blocks):
+        found = good_blocks(page_blocks(html or "", trust_names=False))
+    return "\n\n".join(found)
 
 
 def extracted(pages: DataFrame, *, id_column: str = "page_id") -> DataFrame:
