@@ -15,7 +15,7 @@ from pyspark.ml.classification import FMClassifier, LogisticRegression, Multilay
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import FeatureHasher, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.operators.ctr_features import (
@@ -33,19 +33,18 @@ from tastemill.operators.ctr_features import (
     id_indicator,
 )
 from tastemill.operators.embeddings import attach_vectors
+from tastemill.operators.pair_factors import fit_pair_factors
 from tastemill.operators.samples import split_bucket
+from tastemill.operators.towers import TwoTowers, fit_towers, genre_features, with_tower_scores
 
 # Fixed values.
 EPOCHS = 8
 HIDDEN = [128, 128]
 CF_HIDDEN = [64, 64]
-TOWER_HIDDEN = [128, 128, 32]
 FM_FACTORS = 10
 
 # More slots than movie and user ids together, so few ids share one.
 FIRST_ORDER_SLOTS = 1 << 18
-# Hashed ids in the factorization machine, whose gradient is dense in them.
-PAIR_SLOTS = 1 << 10
 
 Prepare = Callable[[DataFrame], DataFrame]
 
@@ -211,7 +210,6 @@ def fit_deep_fm(
     vocabulary: list[str] = GENRES,
     *,
     first_order_slots: int = FIRST_ORDER_SLOTS,
-    pair_slots: int = PAIR_SLOTS,
     epochs: int = EPOCHS,
     seed: int = 42,
     blend_percent: int = 20,
@@ -223,9 +221,8 @@ def fit_deep_fm(
     other parts below the output layer, and the output layer, fitted as in
     ``fit_wide_deep`` on rows that those parts have not seen, has such terms of
     its own: no training row is without a say in the weights of its ids. A
-    factorization machine adds pairwise terms of ids, genres, crosses and
-    numbers. Spark's builds a dense gradient per row, so ids enter it through
-    ``pair_slots`` hashed slots.
+    factorization machine adds pairwise terms of genres, crosses and numbers, and
+    ``fit_pair_factors`` those of ids, each with a vector of its own.
     """
     if vectors.genres is None:
         raise ValueError("dot crosses need genre vectors")
@@ -239,10 +236,9 @@ def fit_deep_fm(
         out = genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
         out = attach_vectors(out, vectors.genres, genres[0], "itemGenreArray", vectors.size)
         out = attach_vectors(out, vectors.genres, genres[1], "userGenreArray", vectors.size).withColumns(crosses)
-        return pair_ids.transform(out)
+        return out
 
     ids = ["movieId", "userId"]
-    pair_ids = FeatureHasher(inputCols=ids, categoricalCols=ids, outputCol="idSlots", numFeatures=pair_slots)
     own = crossed(own_rows).persist(StorageLevel.MEMORY_AND_DISK)
     machine = FMClassifier(
         factorSize=FM_FACTORS,
@@ -253,7 +249,8 @@ def fit_deep_fm(
         rawPredictionCol="pairsRaw",
         predictionCol="pairsClass",
     )
-    pair_model = _fit(own, [*crosses, *NUMBERS], [*genre_slots, "idSlots"], machine)
+    pair_model = _fit(own, [*crosses, *NUMBERS], genre_slots, machine)
+    id_model = fit_pair_factors(own, ids, rounds=epochs, seed=seed)
     first_order = Pipeline(
         stages=[
             FeatureHasher(
@@ -278,13 +275,13 @@ def fit_deep_fm(
         out = pair_model.transform(crossed(rows)).drop("dense", "scaled", "features")
         out = deep_model.transform(out).drop("dense", "scaled", "features")
         out = first_order.transform(out).drop("features")
-        return out.withColumns({f"{part}Score": _like(part) for part in parts})
+        return id_model.score(out.withColumns({f"{part}Score": _like(part) for part in parts}), "idsScore")
 
     parts = ["first", "pairs", "deep"]
     output = Pipeline(
         stages=[
             FeatureHasher(
-                inputCols=[*ids, *genres, *crosses, *[f"{part}Score" for part in parts]],
+                inputCols=[*ids, *genres, *crosses, *[f"{part}Score" for part in [*parts, "ids"]]],
                 categoricalCols=ids,
                 outputCol="features",
                 numFeatures=first_order_slots,
@@ -295,28 +292,48 @@ def fit_deep_fm(
     return CtrModel(prepare, output)
 
 
-def tower_inputs(side: str) -> tuple[list[str], list[str]]:
-    """Dense and indicator columns of the ``item`` or the ``user`` tower."""
-    if side == "item":
-        return ["itemVector", *ITEM_NUMBERS], [f"{c}IndexVec" for c in ITEM_GENRES]
-    return ["userVector", *USER_NUMBERS], [f"{c}IndexVec" for c in USER_GENRES]
+@dataclass(frozen=True)
+class TowerModel:
+    """Two towers and what enters them; ``prepare`` adds the vectors to rows."""
 
+    prepare: Prepare
+    towers: TwoTowers
+    item_inputs: list[str | Column]
+    user_inputs: list[str | Column]
 
-def fit_two_tower(
-    train: DataFrame, vectors: Vectors, vocabulary: list[str] = GENRES, *, epochs: int = EPOCHS, seed: int = 42
-) -> CtrModel:
-    """Item side and user side, concatenated and joined in a network.
+    def score(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys``, ``label``, ``score`` (between 0 and 1) and ``prediction``."""
+        scored = with_tower_scores(self.prepare(rows), self.towers, [*keys, "label"], self.item_inputs, self.user_inputs)
+        score = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
+        return scored.select(*keys, F.col("label").cast("int").alias("label"), score.alias("score"), (score > 0.5).cast("int").alias("prediction"))
 
-    Spark ML trains no branched network, so both sides enter one network whose
-    last hidden layer is the joint one.
-    """
-    (item_dense, item_sparse), (user_dense, user_sparse) = tower_inputs("item"), tower_inputs("user")
+    def item_vectors(self, items: DataFrame) -> DataFrame:
+        """``(item, vector)`` for rows with ``movieId``, ``itemArray`` and the features of an item snapshot."""
+        return self.towers.items.vectors(items, "movieId", self.item_inputs)
 
-    def prepare(rows: DataFrame) -> DataFrame:
-        return genre_indicators(_with_item_and_user_vectors(rows, vectors), GENRE_COLUMNS, vocabulary)
+    def user_vectors(self, users: DataFrame) -> DataFrame:
+        """``(item, vector)`` for rows with ``userId``, ``userArray`` and the features of a user snapshot."""
+        return self.towers.users.vectors(users, "userId", self.user_inputs)
+
+
+def tower_inputs(side: str, size: int, vocabulary: list[str]) -> list[str | Column]:
+    """What enters the ``item`` or the ``user`` tower: numbers, genres and the pre-trained vector."""
+    numbers, genres, vector = (ITEM_NUMBERS, ITEM_GENRES, "itemArray") if side == "item" else (USER_NUMBERS, USER_GENRES, "userArray")
+    return [*numbers, *genre_features(genres, vocabulary), *[F.col(vector)[i] for i in range(size)]]
 
-    dense, indicators = [*item_dense, *user_dense], [*item_sparse, *user_sparse]
-    return CtrModel(prepare, _fit(prepare(train), dense, indicators, _network(TOWER_HIDDEN, epochs, seed)))
+
+def fit_two_tower(train: DataFrame, vectors: Vectors, vocabulary: list[str] = GENRES, *, seed: int = 42) -> TowerModel:
+    """Item side and user side in towers of their own, joined by a dot product."""
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        out = attach_vectors(rows, vectors.items, "movieId", "itemArray", vectors.size)
+        return attach_vectors(out, vectors.users, "userId", "userArray", vectors.size)
+
+    inputs = [tower_inputs(side, vectors.size, vocabulary) for side in ("item", "user")]
+    towers = fit_towers(prepare(train), *inputs, seed=seed)
+    if towers is None:
+        raise ValueError("two towers need training rows with a label")
+    return TowerModel(prepare, towers, *inputs)
 
 
 def evaluate(scored: DataFrame) -> dict[str, float]:

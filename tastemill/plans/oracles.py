@@ -56,7 +56,6 @@ featured AS (
 
 COUNT = "count(*) OVER w AS userRatingCount"
 LIKED_LIST = "list_reverse(list(movieId) FILTER (WHERE label = 1) OVER w) AS liked"
-LIKED_GENRES = "list(genres) FILTER (WHERE label = 1) OVER w AS likedGenres"
 NUMBERS = f"""{COUNT},
          trunc(coalesce(avg(releaseYear) OVER w, 0))::INTEGER AS userAvgReleaseYear,
          printf('%.2f', coalesce(stddev_samp(releaseYear) OVER w, 0))::DOUBLE AS userReleaseYearStddev,
@@ -66,23 +65,31 @@ NUMBERS = f"""{COUNT},
 
 def past(*columns: str, rows: int = 100) -> str:
     return f"""
-past AS (
+past AS MATERIALIZED (
   SELECT *, {", ".join(columns)} FROM featured
   WINDOW w AS (PARTITION BY userId ORDER BY {LINE_ORDER} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)
 )"""
 
 
+# A user's rows have consecutive numbers. Genres are numbered in their order, so the five best are the least of one number.
 PREFS = """
-genre_rank AS (
-  SELECT rid, g, row_number() OVER (PARTITION BY rid ORDER BY count(*) DESC, g) AS k
-  FROM (SELECT rid, unnest(string_split(one, '|')) AS g FROM (SELECT rid, unnest(likedGenres) AS one FROM past))
-  GROUP BY rid, g
+liked_genres AS MATERIALIZED (
+  SELECT userId, rid, unnest(string_split(genres, '|')) AS g FROM past WHERE label = 1
 ),
+codes AS MATERIALIZED (
+  SELECT g, row_number() OVER (ORDER BY g) AS code FROM (SELECT DISTINCT g FROM liked_genres WHERE g IS NOT NULL)
+),
+likes AS MATERIALIZED (SELECT userId, rid, code FROM liked_genres JOIN codes USING (g)),
+counted AS (
+  SELECT p.rid, e.code, count(*) AS c FROM past p JOIN likes e ON p.userId = e.userId
+  WHERE e.rid < p.rid AND e.rid >= p.rid - 100 GROUP BY p.rid, e.code
+),
+best AS (SELECT rid, min((1000 - c) * 1000000 + code, 5) AS top FROM counted GROUP BY rid),
 prefs AS (
-  SELECT rid, max(CASE WHEN k = 1 THEN g END) AS userGenre1, max(CASE WHEN k = 2 THEN g END) AS userGenre2,
-         max(CASE WHEN k = 3 THEN g END) AS userGenre3, max(CASE WHEN k = 4 THEN g END) AS userGenre4,
-         max(CASE WHEN k = 5 THEN g END) AS userGenre5
-  FROM genre_rank GROUP BY rid
+  SELECT rid, a.g AS userGenre1, b.g AS userGenre2, c.g AS userGenre3, d.g AS userGenre4, e.g AS userGenre5
+  FROM best LEFT JOIN codes a ON a.code = top[1] % 1000000 LEFT JOIN codes b ON b.code = top[2] % 1000000
+    LEFT JOIN codes c ON c.code = top[3] % 1000000 LEFT JOIN codes d ON d.code = top[4] % 1000000
+    LEFT JOIN codes e ON e.code = top[5] % 1000000
 )"""
 
 LIKED = ", ".join(f"liked[{i}] AS userRatedMovie{i}" for i in range(1, 6))
@@ -108,13 +115,13 @@ def with_(*parts: str, recursive: bool = False) -> str:
 
 
 UP_TO_FEATURED = (RATINGS, ITEMS, STATS, FEATURED)
-UP_TO_SAMPLES = (*UP_TO_FEATURED, past(NUMBERS, LIKED_LIST, LIKED_GENRES), PREFS, SAMPLES)
+UP_TO_SAMPLES = (*UP_TO_FEATURED, past(NUMBERS, LIKED_LIST), PREFS, SAMPLES)
 # Samples with fewer columns, where a query needs no more.
 WARM = "samples AS (SELECT * FROM past WHERE userRatingCount > 1)"
 COUNTED_SAMPLES = (*UP_TO_FEATURED, past(COUNT), WARM)
 GENRE_SAMPLES = (
     *UP_TO_FEATURED,
-    past(COUNT, LIKED_GENRES),
+    past(COUNT),
     PREFS,
     "samples AS (SELECT * FROM past LEFT JOIN prefs USING (rid) WHERE userRatingCount > 1)",
 )
@@ -318,7 +325,7 @@ ORACLES: dict[str, str] = {
     "user_history": with_(*UP_TO_FEATURED, past(LIKED_LIST)) + f"SELECT {KEYS}, userId, {LIKED} FROM past",
     "user_window_stats": window_stats(100),
     "user_window_stats_10": window_stats(10),
-    "user_genre_prefs": with_(*UP_TO_FEATURED, past(LIKED_GENRES), PREFS)
+    "user_genre_prefs": with_(*UP_TO_FEATURED, past(COUNT), PREFS)
     + f"SELECT {KEYS}, userId, {USER_GENRES} FROM past LEFT JOIN prefs USING (rid)",
     "warm_rows": with_(*UP_TO_FEATURED, past(COUNT))
     + f"SELECT {KEYS}, userId, userRatingCount FROM past WHERE userRatingCount > 1",
@@ -427,6 +434,8 @@ FROM joined""",
     "als_scores": with_(RATINGS, ALS_SIDES, ALS_SCORED)
     + "SELECT orderKey, lineNumber, suppKey, userId::INTEGER AS userIdInt, movieId::INTEGER AS movieIdInt, "
     + "rating AS ratingFloat, true AS finite FROM scored",
+    "als_fit": with_(RATINGS)
+    + f"SELECT count(*) AS scored, true AS belowMean FROM (SELECT {SPLIT} FROM r) WHERE split = 'train'",
     "als_rmse": with_(RATINGS, ALS_SIDES, ALS_SCORED)
     + "SELECT count(*) AS scored, true AS finite FROM scored",
     "als_item_factors": with_(RATINGS, ALS_SIDES)
@@ -449,7 +458,7 @@ FROM joined""",
     "wide_deep": SCORED_CHECK,
     "fm": SCORED_CHECK,
     "two_tower": SCORED_CHECK,
-    "two_tower_topk": with_(RATINGS, VECTORS, USER_SUMS)
+    "stored_vectors_topk": with_(RATINGS, VECTORS, USER_SUMS)
     + ", users AS (SELECT userId, list(value ORDER BY position) AS vector FROM user_dims "
     + f"WHERE userId % {QUERY_STEP} = 0 GROUP BY userId), "
     + "scored AS (SELECT userId, item AS movieId, list_dot_product(u.vector, v.vector) AS s FROM users u, vectors v), "

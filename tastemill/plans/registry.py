@@ -17,6 +17,7 @@ from tastemill.operators import embeddings as emb
 from tastemill.operators import encoders as enc
 from tastemill.operators import history, samples, sequences, snapshots, walks
 from tastemill.operators.neighbours import best_matches, similar_items_batch
+from tastemill.operators.pair_factors import fit_pair_factors
 from tastemill.plans.jobs import model_samples
 from tastemill.session import ensure_checkpoint_dir, shared_dir
 from tastemill.sources import files
@@ -600,8 +601,8 @@ def click_query(name: str) -> Query:
     return query
 
 
-def two_tower_topk(spark: SparkSession, folder: str) -> DataFrame:
-    """Items for users by the dot product of their tower vectors, here the stored ones."""
+def stored_vectors_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Items for users by the dot product of stored item vectors and their sums."""
     items = item_vectors(spark, folder)
     asked = line_ratings(spark, folder).where(F.col("userId") % QUERY_STEP == 0)
     users = emb.user_vectors(asked, items, STORED_VECTOR_SIZE).withColumnRenamed("userId", "item").persist()
@@ -610,6 +611,87 @@ def two_tower_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def two_tower_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Tower vectors of all items and users with training rows, from their latest features."""
+    train, _ = training_frames(spark, folder)
+    vectors = word_vectors(spark, folder, train)
+    model = models.fit_two_tower(train, vectors, PART_GENRES)
+    items = snapshots.item_snapshot(train, LINE_RATINGS)
+    items = emb.attach_vectors(items, vectors.items, "movieId", "itemArray", vectors.size)
+    users = snapshots.user_snapshot(train, LINE_RATINGS)
+    users = emb.attach_vectors(users, vectors.users, "userId", "userArray", vectors.size)
+    return model.item_vectors(items), model.user_vectors(users)
+
+
+def two_tower_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Items for users by the dot product of their tower vectors."""
+    items, users = two_tower_vectors(spark, folder)
+    found = best_matches(users.where(F.col("item") % QUERY_STEP == 0), items.persist(), cf.TOP_K)
+    return found.select(F.col("query").alias("userId"), "rank", F.col("item").alias("movieId"), "score")
+
+
+# Results of the trained models themselves, which SQL can't repeat.
+
+
+def als_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    model, ratings = _als(spark, folder)
+    scored = model.transform(ratings.where("split = 'test'"))
+    return scored.select("orderKey", "lineNumber", "suppKey", cf.USER, cf.ITEM, cf.RATING, "prediction")
+
+
+def als_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The error on training and test rows, beside that of the training mean."""
+    model, ratings = _als(spark, folder)
+    mean = ratings.where("split = 'train'").agg(F.avg(cf.RATING)).first()[0]
+    wrong = lambda guess: F.sqrt(F.avg((guess - F.col(cf.RATING)) * (guess - F.col(cf.RATING))))
+    scored = model.transform(ratings)
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("scored"), wrong(F.col("prediction").cast("double")).alias("rmse"), wrong(F.lit(mean)).alias("meanRmse")
+    )
+
+
+def als_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the model's error on its training rows is below that of the mean, as no model without knowledge of them is."""
+    errors = als_errors(spark, folder).where("split = 'train'")
+    return errors.select("scored", (F.col("rmse") < F.col("meanRmse")).alias("belowMean"))
+
+
+def als_item_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return cf.ranked(cf.recommend_items(_als(spark, folder)[0]))
+
+
+def als_user_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return cf.ranked(cf.recommend_users(_als(spark, folder)[0]))
+
+
+def als_fold_errors(spark: SparkSession, folder: str) -> DataFrame:
+    keys = ["orderKey", "lineNumber", cf.ITEM, "suppKey"]
+    return cf.cross_validate(_als_rows(spark, folder).where("split = 'train'"), keys, grid=CV_GRID)
+
+
+def item2vec_values(spark: SparkSession, folder: str) -> DataFrame:
+    return emb.model_vectors(emb.item2vec(event_ratings(spark, folder), EVENT_RATINGS))
+
+
+def deepwalk_values(spark: SparkSession, folder: str) -> DataFrame:
+    return emb.model_vectors(_deepwalk(event_ratings(spark, folder), EVENT_RATINGS))
+
+
+def score_query(name: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        train, test = training_frames(spark, folder)
+        return CLICK_MODELS[name](spark, folder, train).score(test, LINE_KEYS)
+
+    return query
+
+
+def pair_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the test rows by learnt vectors of items and users alone."""
+    train, test = training_frames(spark, folder)
+    model = fit_pair_factors(train, ["movieId", "userId"])
+    return model.score(test).select(*LINE_KEYS, "userId", "label", "score")
+
+
 QUERIES: dict[str, Query] = {
     "ratings_csv": ratings_csv,
     "items_csv": items_csv,
@@ -682,5 +764,16 @@ QUERIES: dict[str, Query] = {
     "wide_deep": click_query("wide_deep"),
     "fm": click_query("fm"),
     "two_tower": click_query("two_tower"),
+    "stored_vectors_topk": stored_vectors_topk,
     "two_tower_topk": two_tower_topk,
+    "als_predictions": als_predictions,
+    "als_errors": als_errors,
+    "als_fit": als_fit,
+    "als_item_lists": als_item_lists,
+    "als_user_lists": als_user_lists,
+    "als_fold_errors": als_fold_errors,
+    "item2vec_values": item2vec_values,
+    "deepwalk_values": deepwalk_values,
+    "pair_scores": pair_scores,
+    **{f"{name}_scores": score_query(name) for name in CLICK_MODELS},
 }

@@ -25,7 +25,7 @@ def test_model_samples_take_one_window(spark, folder):
 @pytest.mark.parametrize(
     "name",
     ["model_samples", "item_snapshot", "user_sequences", "item_pairs", "multi_hot", "user_vectors", "random_walks",
-     "similar_vectors_batch", "two_tower_topk"],
+     "similar_vectors_batch", "stored_vectors_topk"],
 )
 def test_no_python_in_plans(spark, folder, name):
     text = plan(reg.QUERIES[name](spark, folder))
