@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm.common import ascii_lower, saved
-from tastemill.operators.skew import fits_broadcast
+from tastemill.operators.skew import fits_broadcast, lookup_join
 
 # Host and path, and the verdict.
 RULES = {
@@ -145,13 +145,18 @@ def url_verdicts(
     pages: DataFrame,
     rules: dict[str, str] = RULES,
     *,
+    labels: DataFrame | None = None,
     least_support: float = LEAST_SUPPORT,
+    least_rows: int | None = None,
     least_confidence: float = LEAST_CONFIDENCE,
     id_column: str = "page_id",
 ) -> DataFrame:
     """Judge every URL.
 
-    URLs that a fixed rule fits are the labelled ones. Columns: the id,
+    URLs that a fixed rule fits are the labelled ones, and those of ``labels``, a table of
+    ``url`` and ``label`` ("allow" or "block"; other rows say nothing). ``least_rows``, where given, is the
+    number of labelled rows that a rule needs, instead of a share: a host of a few
+    dozen pages can then be learnt, however many rows there are. Columns: the id,
     ``host``, ``path``, ``rule``, ``verdict`` ("allow" or "block": the rule's,
     else the mined rules', else "allow"), ``mined_rule`` and ``confidence``. A
     null URL, or one without ``://``, has an empty host and path and no rule; a
@@ -165,25 +170,28 @@ def url_verdicts(
     rows = rows.withColumn("ruled", by_rule)
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("tokens")
     labelled = rows.where("ruled is not null").select(tokens, F.col("ruled").alias("label"))
-    if labelled.isEmpty():
-        return rows.select(
-            id_column, "host", "path", "rule", F.lit("allow").alias("verdict"),
-            F.lit(None).cast("string").alias("mined_rule"), F.lit(None).cast("double").alias("confidence"),
-        )
-    mined = mined_rules(labelled, least_support, least_confidence)
-    open_urls = rows.where("ruled is null and url is not null").groupBy("url", "host", "path").count()
-    verdicts = rule_verdicts(open_urls.select("url", tokens), mined)
-    free = F.when(F.col("ruled").isNull(), F.col("url"))
-    return (
-        rows.withColumn("free", free)
-        .join(verdicts.withColumnRenamed("url", "free"), "free", "left")
-        .select(
-            id_column,
-            "host",
-            "path",
-            "rule",
-            F.coalesce("ruled", "mined", F.lit("allow")).alias("verdict"),
-            "mined_rule",
-            "confidence",
-        )
+    if labels is not None:
+        told = labels.where("url is not null and label in ('allow', 'block')").select("url", "label")
+        told = told.select("url", host.alias("host"), path.alias("path"), "label")
+        labelled = labelled.unionByName(told.select(tokens, "label"))
+    n = labelled.count()
+    none = [F.lit(None).cast("string").alias("mined"), F.lit(None).cast("string").alias("mined_rule"), F.lit(None).cast("double").alias("confidence")]
+    # Only open URLs are looked up, so that the others need no shuffle.
+    asked, rest = rows.where("ruled is null and url is not null"), rows.where("ruled is not null or url is null").select("*", *none)
+    if n:
+        support = least_support if least_rows is None else min(1.0, least_rows / n)
+        mined = mined_rules(labelled, support, least_confidence)
+        open_urls = asked.groupBy("url", "host", "path").count()
+        verdicts = saved(rule_verdicts(open_urls.select("url", tokens), mined))
+        asked = lookup_join(asked, verdicts, "url")
+    else:
+        asked = asked.select("*", *none)
+    return asked.unionByName(rest).select(
+        id_column,
+        "host",
+        "path",
+        "rule",
+        F.coalesce("ruled", "mined", F.lit("allow")).alias("verdict"),
+        "mined_rule",
+        "confidence",
     )

@@ -374,6 +374,17 @@ def test_url_rules(spark):
     assert url_rules.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_labelled_urls_teach_rare_hosts(spark):
+    urls = [f"http://casino-win.net/en/{i}" for i in range(40)] + [f"http://news{i % 50}.net/en/{i}" for i in range(4_000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = pages.where("page_id % 2 = 0").select("url", F.when(F.col("url").contains("casino"), "block").otherwise("allow").alias("label"))
+    labels = labels.unionByName(spark.createDataFrame([(None, "block"), ("http://x.net/", "unknown")], "url string, label string"))
+    found = url_rules.url_verdicts(pages, labels=labels, least_rows=15).collect()
+    assert {r.page_id for r in found if r.verdict == "block"} == set(range(40))
+    # A share leaves such a host out.
+    assert {r.verdict for r in url_rules.url_verdicts(pages, labels=labels).collect()} == {"allow"}
+
+
 def test_tool_calls(spark):
     schemas = spark.createDataFrame(
         [("find", "q", "string", True), ("find", "n", "integer", False), ("ask", "it", "object", True)],
