@@ -290,6 +290,37 @@ def test_syncmers(documents, rows, none):
         assert same.setdefault(next(x[1] or "" for x in rows if x[0] == r.doc_id) if r.doc_id is not None else r.fingerprint, r.fingerprint) == r.fingerprint
         assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
     assert next(r for r in found if r.n_chars > 10_000).near_edited > 0.2
+    spark = documents.sparkSession
+    flat = documents.select(F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word"))
+    hashes = {r.word: r.hash for r in flat.distinct().withColumn("hash", F.xxhash64("word")).collect()}
+    chosen = {}
+
+    def brute(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+        if len(words) < syncmers.K:
+            return {tuple(words)} if words else set()
+        h = [hashes[w] for w in words]
+        at = [i for i in range(len(h) - 3) if min(h[i], h[i + 3]) <= min(h[i + 1 : i + 3])]
+        chosen[text] = at
+        return {(*words[i : i + 4], (at[n + 1 :] or [i])[0] - i) for n, i in enumerate(at)}
+
+    near = {r.doc_id: r for r in found}
+    for (i, text), (_, following) in zip(order, order[1:]):
+        a, b = brute(text), brute(following)
+        assert len(near[i].fingerprint) == 16 * len(a)
+        assert near[i].near_next == round(len(a & b) / len(a | b), 6) if a | b else near[i].near_next == 1
+    places = {}
+    for r in syncmers.anchor_table(documents.where("doc_id is not null").dropDuplicates()).collect():
+        places.setdefault(r.doc_id, []).append(r.start)
+    assert all(sorted(places.get(i, [])) == chosen[text] for i, text in order if text in chosen)
+    passage = " ".join(f"w{i}" for i in range(60))
+    pair = [(1, f"a b c d e f g {passage} h i j"), (2, f"k l {passage} m n o p q"), (3, "r s t u")]
+    spans = syncmers.shared_spans(
+        spark.createDataFrame(pair, "doc_id long, text string"),
+        spark.createDataFrame([(1, 2), (1, 3), (None, 1)], "left_id long, right_id long"),
+    ).collect()
+    assert {(r.left_id, r.right_id) for r in spans} == {(1, 2)} and max(r.n_words for r in spans) >= 45
+    assert all(7 <= r.left_start and r.right_start == r.left_start - 5 for r in spans if r.n_words > 8)
     assert syncmers.edited_fingerprints(none).count() == 0
 
 
