@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
@@ -25,6 +27,9 @@ from tastemill.operators.skew import HOT_ROWS, lookup_join, positions
 
 # A model object carries at most this many labels through the driver.
 MODEL_LABELS = 100_000
+# Bits of a value's 64-bit key that each pass of ``exact_quantiles`` decides.
+DIGITS = (11, 11, 11, 11, 10, 10)
+SIGN = 1 << 63
 
 
 def sparse_vector(size: Column, slots: Column) -> Column:
@@ -156,6 +161,60 @@ def fit_count_buckets(df: DataFrame, column: str, output: str, buckets: int = 10
     return Bucketizer(inputCol=column, outputCol=output, splits=[float("-inf"), *inner, float("inf")])
 
 
+def _ordered_key(column: str) -> Column:
+    """A double's bits, turned so that the order of unsigned 64-bit numbers is that of the values."""
+    # Adding zero makes one zero of both.
+    value = F.col(column).cast("double") + F.lit(0.0)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("long")
+    return F.when(bits >= 0, bits.bitwiseXOR(F.lit(-SIGN))).otherwise(F.bitwise_not(bits))
+
+
+def _value_of(key: int) -> float:
+    key %= 1 << 64
+    return struct.unpack(">d", struct.pack(">Q", key ^ SIGN if key & SIGN else key ^ (1 << 64) - 1))[0]
+
+
+def exact_quantiles(df: DataFrame, column: str, buckets: int) -> list[float]:
+    """Exact inner quantiles of any numeric column, repeated values merged.
+
+    The i-th of them is the value of rank ``ceil(i * n / buckets)``; nulls and
+    NaN have no rank. Radix selection: values are 64-bit keys, and each of six
+    passes counts the next 10 or 11 bits of those keys whose bits before are the
+    bits of a wanted rank. A pass moves no values, only at most ``2048 *
+    buckets`` counts from each task, and what comes to the driver is one row for
+    each quantile. The number of passes does not depend on the values. The
+    values are read as doubles, so integers beyond 2^53 are rounded first.
+    """
+    present = df.select(F.col(column).cast("double").alias("__value")).where("__value is not null and not isnan(__value)")
+    keys = present.select(_ordered_key("__value").alias("__key"))
+    n = present.count()
+    ranks = sorted({-(-i * n // buckets) for i in range(1, buckets)} - {0})
+    wanted, left = [(0, r) for r in ranks], 64
+    for bits in DIGITS if ranks else ():
+        before = F.shiftrightunsigned("__key", left) if left < 64 else F.lit(0).cast("long")
+        left -= bits
+        cells = (
+            keys.select(before.alias("prefix"), F.shiftrightunsigned("__key", left).alias("cell"))
+            .where(F.col("prefix").isin(sorted({p for p, _ in wanted})))
+            .groupBy("prefix", "cell")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        upto = Window.partitionBy("prefix").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+        ends = cells.withColumn("hi", F.sum("n").over(upto))
+        # One row for each rank.
+        asked = df.sparkSession.createDataFrame(wanted, "prefix long, rank long")
+        found = ends.join(F.broadcast(asked), "prefix").where("rank <= hi and rank > hi - n")
+        wanted = [(r.cell, r.rank) for r in found.select("cell", (F.col("rank") - F.col("hi") + F.col("n")).alias("rank")).collect()]
+    return sorted({_value_of(key) for key, _ in wanted})
+
+
+def fit_exact_buckets(df: DataFrame, column: str, output: str, buckets: int = 100) -> Bucketizer:
+    """Quantile buckets of any numeric column from its exact quantiles; NaN and null get one of their own."""
+    inner = [v for v in exact_quantiles(df, column, buckets) if abs(v) != float("inf")]
+    splits = [float("-inf"), *inner, float("inf")]
+    return Bucketizer(inputCol=column, outputCol=output, splits=splits, handleInvalid="keep")
+
+
 def fit_quantile_buckets(
     df: DataFrame, column: str, output: str, buckets: int = 100, relative_error: float = 0.001
 ) -> Bucketizer:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.columns import RatingColumns
@@ -17,7 +17,15 @@ from tastemill.functions.scalars import (
     slots,
     two_digits,
 )
-from tastemill.operators.skew import HOT_ROWS, lookup_join
+from tastemill.operators.skew import (
+    HOT_ROWS,
+    OFFSET,
+    drop_helper_columns,
+    group_window,
+    lookup_join,
+    moments_before_chunk,
+    ordered_groups,
+)
 
 
 def typed_ratings(df: DataFrame, cols: RatingColumns = RatingColumns()) -> DataFrame:
@@ -88,6 +96,59 @@ def item_model_stats(ratings: DataFrame, cols: RatingColumns = RatingColumns())
     )
 
 
+def item_stats_before(
+    ratings: DataFrame,
+    cols: RatingColumns = RatingColumns(),
+    *,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Add to each rating the statistics of the item's earlier ratings.
+
+    The columns and their rounding are those of ``item_model_stats``, but no row
+    sees itself or the future, so that they can be used to train and to test.
+    Earlier means before in the order of time, ties and user. An item's first
+    rating has count, mean and deviation 0; null ratings count as rows only. One
+    shuffle and one window; an item of more than ``hot_rows`` ratings is cut into
+    chunks, each of which continues from the moments of those before it.
+    """
+    order = list(dict.fromkeys([*cols.order, cols.user]))
+    # No rows are copied across cuts: what lies before a chunk is known from its moments.
+    grouped = ordered_groups(ratings, [cols.item], order, 0, hot_rows=hot_rows, counted=counted)
+    grouped = moments_before_chunk(grouped, [cols.item], cols.rating)
+    w = group_window([cols.item], order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = grouped.select(
+        "*",
+        (F.count(F.lit(1)).over(w) + F.col(OFFSET)).alias("movieRatingCount"),
+        F.count(cols.rating).over(w).alias("__n"),
+        F.avg(cols.rating).over(w).alias("movieAvgRating"),
+        F.var_pop(cols.rating).over(w).alias("__var"),
+        F.stddev_samp(cols.rating).over(w).alias("movieRatingStddev"),
+    )
+    n, n0, step = F.col("__n"), F.col("__n0"), F.col("movieAvgRating") - F.col("__mean0")
+    share = n / (n + n0)
+    mean = F.col("__mean0") + F.coalesce(step * share, F.lit(0.0))
+    squares = F.col("__m20") + F.coalesce(F.col("__var") * n + step * step * n0 * share, F.lit(0.0))
+    deviation = F.when(n + n0 > 1, F.sqrt(squares / (n + n0 - 1)))
+    merged = seen.withColumns(
+        {
+            "movieAvgRating": F.when(n0.isNull(), F.col("movieAvgRating")).otherwise(mean),
+            "movieRatingStddev": F.when(n0.isNull(), F.col("movieRatingStddev")).otherwise(deviation),
+        }
+    )
+    return (
+        drop_helper_columns(merged.drop("__n", "__var", "__n0", "__mean0", "__m20"))
+        .na.fill(0, ["movieAvgRating", "movieRatingStddev"])
+        .withColumns({c: two_digits(c) for c in ("movieAvgRating", "movieRatingStddev")})
+    )
+
+
+def item_metadata(items: DataFrame, cols: RatingColumns = RatingColumns()) -> DataFrame:
+    """Year and genres of every item."""
+    metadata = items.select(cols.item, release_year("title").alias("__year"), "genres")
+    return metadata.withColumns(slots(genre_list("genres"), "movieGenre", 3))
+
+
 def item_profile(ratings: DataFrame, items: DataFrame, cols: RatingColumns = RatingColumns()) -> DataFrame:
     """Year, genres and statistics of every rated item.
 
@@ -109,9 +170,23 @@ def item_profile(ratings: DataFrame, items: DataFrame, cols: RatingColumns = Rat
 
 
 def attach_item_features(
-    labelled: DataFrame, items: DataFrame, cols: RatingColumns = RatingColumns(), *, hot_rows: int = HOT_ROWS
+    labelled: DataFrame,
+    items: DataFrame,
+    cols: RatingColumns = RatingColumns(),
+    *,
+    hot_rows: int = HOT_ROWS,
+    point_in_time: bool = False,
 ) -> DataFrame:
-    """Add each item's year, genres and statistics to labelled ratings."""
+    """Add each item's year, genres and statistics to labelled ratings.
+
+    The statistics are of all the item's ratings or, with ``point_in_time``, of
+    those before the row's own.
+    """
+    if point_in_time:
+        seen = lookup_join(
+            item_stats_before(labelled, cols, hot_rows=hot_rows), item_metadata(items, cols), cols.item, hot_rows=hot_rows
+        )
+        return seen.withColumn("releaseYear", F.coalesce(F.col("__year"), F.lit(DEFAULT_YEAR))).drop("__year")
     # Held because its size decides the join, which then reads it again.
     profile = item_profile(labelled, items, cols).persist(StorageLevel.MEMORY_AND_DISK)
     return lookup_join(labelled, profile, cols.item, hot_rows=hot_rows)

@@ -236,6 +236,44 @@ def drop_helper_columns(df: DataFrame) -> DataFrame:
     return df.where(~F.col(HALO)).drop(CHUNK, HALO, OFFSET, TIE)
 
 
+def moments_before_chunk(grouped: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``__n0``, ``__mean0``, ``__m20``: moments of ``value`` in the key's chunks before a row's own.
+
+    ``grouped`` comes from ``ordered_groups``. Each chunk is reduced to its count,
+    mean and squared deviations, and running sums over the chunks are taken
+    relative to the key's mean, which keeps them exact to rounding. The three
+    columns are null in a key's first chunk and in keys that were not cut, for
+    which nothing is computed.
+    """
+    chunks = (
+        grouped.where((F.col(CHUNK) >= 0) & ~F.col(HALO))
+        .groupBy(*keys, CHUNK)
+        .agg(F.count(value).alias("__n"), F.avg(value).alias("__mean"), F.var_pop(value).alias("__var"))
+        .na.fill(0, ["__mean", "__var"])
+    )
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    n, off = F.col("__n"), F.col("__mean") - F.col("__centre")
+    # One row per (key, chunk), as many as there are chunks.
+    sums = (
+        chunks.withColumn("__centre", F.sum(n * F.col("__mean")).over(whole) / F.sum(n).over(whole))
+        .withColumn("__n0", F.sum("__n").over(earlier))
+        .withColumn("__off0", F.sum(n * off).over(earlier))
+        .withColumn("__square0", F.sum(n * (F.col("__var") + off * off)).over(earlier))
+        .where(F.col("__n0") > 0)
+        .select(
+            *[F.col(k).alias(f"__hot_{k}") for k in keys],
+            F.col(CHUNK).alias("__of"),
+            "__n0",
+            (F.col("__centre") + F.col("__off0") / F.col("__n0")).alias("__mean0"),
+            F.greatest(F.col("__square0") - F.col("__off0") * F.col("__off0") / F.col("__n0"), F.lit(0.0)).alias("__m20"),
+        )
+    )
+    side = _with_broadcast(sums)
+    on = same_keys(grouped, side, [(k, f"__hot_{k}") for k in keys]) & (grouped[CHUNK] == side["__of"])
+    return grouped.join(side, on, "left").drop("__of", *[f"__hot_{k}" for k in keys])
+
+
 def positions(df: DataFrame, keys: list[str], order: list[str], name: str, *, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Number each key's rows 1, 2, ... in ascending ``order``."""
     grouped = ordered_groups(df, keys, order, 0, hot_rows=hot_rows)

@@ -24,14 +24,16 @@ def model_samples(
     *,
     rows: int = HISTORY_ROWS,
     hot_rows: int = HOT_ROWS,
+    point_in_time: bool = False,
 ) -> DataFrame:
     """Labelled ratings with item features and features of the user's past.
 
+    With ``point_in_time``, item statistics too are of the past only.
     The 27 sample columns come first, in file order, followed by those tie
     columns of ``cols`` that are not among them.
     """
     labelled = label_ratings(ratings.select(*cols.all), cols)
-    featured = attach_item_features(labelled, items, cols, hot_rows=hot_rows)
+    featured = attach_item_features(labelled, items, cols, hot_rows=hot_rows, point_in_time=point_in_time)
     samples = user_features(featured, cols, rows=rows, hot_rows=hot_rows, counted=ratings)
     standard_names = {"movieId": cols.item, "userId": cols.user, "rating": cols.rating, "timestamp": cols.time}
     wide = [standard_names.get(c, c) for c in SAMPLE_COLUMNS]

@@ -44,6 +44,13 @@ stats AS (
   FROM r GROUP BY movieId
 )"""
 
+STATS_BEFORE = f"""
+stats_before AS (
+  SELECT *, count(*) OVER w AS movieRatingCount, printf('%.2f', coalesce(avg(rating) OVER w, 0))::DOUBLE AS movieAvgRating,
+         printf('%.2f', coalesce(stddev_samp(rating) OVER w, 0))::DOUBLE AS movieRatingStddev
+  FROM r WINDOW w AS (PARTITION BY movieId ORDER BY {LINE_ORDER}, userId ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)"""
+
 FEATURED = """
 featured AS (
   SELECT r.*, coalesce(releaseYear, 1990) AS releaseYear, movieGenre1, movieGenre2, movieGenre3, genres,
@@ -209,6 +216,16 @@ bucketed AS (
   FROM counted
 )"""
 
+PRICE_BUCKETS = f"""
+numbered AS (
+  SELECT {KEYS}, price, row_number() OVER (ORDER BY price) AS rk, count(*) OVER () AS n FROM r
+),
+cuts AS (
+  SELECT cut, row_number() OVER (ORDER BY cut)::INTEGER AS below FROM (
+    SELECT DISTINCT price AS cut FROM numbered JOIN (SELECT unnest(range(1, 100)) AS i) p ON rk = (p.i * n + 99) // 100
+  )
+)"""
+
 SCALED = "round((avgRating - min(avgRating) OVER ()) / (max(avgRating) OVER () - min(avgRating) OVER ()), 6)"
 
 GENRE_LABELS = """
@@ -322,6 +339,11 @@ ORACLES: dict[str, str] = {
     "attach_item_stats": with_(RATINGS, STATS)
     + f"SELECT {KEYS}, userId, rating, movieRatingCount, movieAvgRating, movieRatingStddev "
     + "FROM r LEFT JOIN stats USING (movieId)",
+    "item_stats_before": with_(RATINGS, STATS_BEFORE)
+    + f"SELECT {KEYS}, userId, movieRatingCount, movieAvgRating, movieRatingStddev FROM stats_before",
+    "attach_item_stats_before": with_(RATINGS, ITEMS, STATS_BEFORE)
+    + f"SELECT {KEYS}, userId, coalesce(releaseYear, 1990) AS releaseYear, movieGenre1, movieGenre2, movieGenre3, "
+    + "movieRatingCount, movieAvgRating FROM stats_before LEFT JOIN item_info USING (movieId)",
     "user_history": with_(*UP_TO_FEATURED, past(LIKED_LIST)) + f"SELECT {KEYS}, userId, {LIKED} FROM past",
     "user_window_stats": window_stats(100),
     "user_window_stats_10": window_stats(10),
@@ -352,6 +374,8 @@ ORACLES: dict[str, str] = {
     + "string_agg(genreIndex::VARCHAR, ',' ORDER BY genreIndex) AS vectorIndexes "
     + "FROM (SELECT DISTINCT movieId, genreIndex FROM labels_seen JOIN label_table USING (genre)) GROUP BY movieId",
     "rating_count_bucket": with_(RATINGS, BUCKETS) + "SELECT movieId, ratingCount, ratingCountBucket FROM bucketed",
+    "price_bucket": with_(RATINGS, PRICE_BUCKETS)
+    + f"SELECT {KEYS}, coalesce(below, 0)::INTEGER AS priceBucket FROM numbered ASOF LEFT JOIN cuts ON price >= cut",
     "avg_rating_minmax": with_(RATINGS) + f"SELECT movieId, {SCALED} AS scaleAvgRating FROM ({COUNTED})",
     "rating_features": with_(RATINGS, BUCKETS)
     + "SELECT movieId, ratingCount, avgRating, round(ratingVar, 6) AS ratingVar, avgRating AS avgRatingVec, "

@@ -177,6 +177,19 @@ def attach_item_stats(spark: SparkSession, folder: str) -> DataFrame:
     return featured(spark, folder).select(*LINE_KEYS, "userId", "rating", *kept)
 
 
+def item_stats_before(spark: SparkSession, folder: str) -> DataFrame:
+    kept = ["movieRatingCount", "movieAvgRating", "movieRatingStddev"]
+    return samples.item_stats_before(line_ratings(spark, folder), LINE_RATINGS).select(*LINE_KEYS, "userId", *kept)
+
+
+def attach_item_stats_before(spark: SparkSession, folder: str) -> DataFrame:
+    ratings = labelled(spark, folder).select(*LINE_RATINGS.all, "label")
+    seen = samples.attach_item_features(ratings, part_items(spark, folder), LINE_RATINGS, point_in_time=True)
+    return seen.select(
+        *LINE_KEYS, "userId", "releaseYear", "movieGenre1", "movieGenre2", "movieGenre3", "movieRatingCount", "movieAvgRating"
+    )
+
+
 def user_history(spark: SparkSession, folder: str) -> DataFrame:
     ratings = labelled(spark, folder).select(*LINE_RATINGS.all, "label")
     kept = [f"userRatedMovie{i}" for i in range(1, 6)]
@@ -256,6 +269,12 @@ def rating_count_bucket(spark: SparkSession, folder: str) -> DataFrame:
     return buckets.select("movieId", "ratingCount", F.col("bucket").cast("int").alias("ratingCountBucket"))
 
 
+def price_bucket(spark: SparkSession, folder: str) -> DataFrame:
+    prices = line_ratings(spark, folder).select(*LINE_KEYS, "price")
+    buckets = enc.fit_exact_buckets(prices, "price", "bucket").transform(prices)
+    return buckets.select(*LINE_KEYS, F.col("bucket").cast("int").alias("priceBucket"))
+
+
 def avg_rating_minmax(spark: SparkSession, folder: str) -> DataFrame:
     stats = samples.item_rating_stats(line_ratings(spark, folder)).select("movieId", "avgRating")
     scaled = enc.fit_min_max(stats, "avgRating", "scaled").transform(stats)
@@ -708,6 +727,8 @@ QUERIES: dict[str, Query] = {
     "item_model_stats": item_model_stats,
     "attach_items": attach_items,
     "attach_item_stats": attach_item_stats,
+    "item_stats_before": item_stats_before,
+    "attach_item_stats_before": attach_item_stats_before,
     "user_history": user_history,
     "user_window_stats": user_window_stats,
     "user_window_stats_10": user_window_stats_10,
@@ -721,6 +742,7 @@ QUERIES: dict[str, Query] = {
     "genre_label_table": genre_label_table,
     "multi_hot": multi_hot,
     "rating_count_bucket": rating_count_bucket,
+    "price_bucket": price_bucket,
     "avg_rating_minmax": avg_rating_minmax,
     "rating_features": _rating_features,
     "user_sequences": user_sequences,

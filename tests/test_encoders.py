@@ -103,3 +103,19 @@ def test_multi_hot_beyond_the_model(spark, monkeypatch):
     few = sorted(map(str, enc.multi_hot(items).collect()))
     monkeypatch.setattr(enc, "MODEL_LABELS", 2)
     assert sorted(map(str, enc.multi_hot(items).collect())) == few
+
+
+def test_exact_quantiles_of_any_number(spark):
+    from tastemill.operators import encoders as enc
+
+    values = [(i * 7919 % 1009 - 500) * 10.0 ** (i % 40 - 20) for i in range(900)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 1.7e308, float("inf"), float("-inf")] + [3.25] * 300
+    frame = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "x double")
+    ordered, n = sorted(values), len(values)
+    for buckets in (2, 7, 100):
+        expected = sorted({ordered[-(-i * n // buckets) - 1] for i in range(1, buckets)})
+        assert enc.exact_quantiles(frame, "x", buckets) == expected
+    assert enc.exact_quantiles(frame.limit(0), "x", 10) == []
+    made = enc.fit_exact_buckets(frame, "x", "b", 10).transform(frame).where("x = 3.25").select("b").distinct().collect()
+    cuts = [v for v in enc.exact_quantiles(frame, "x", 10) if v <= 3.25]
+    assert [r.b for r in made] == [len(cuts)]

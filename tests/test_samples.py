@@ -150,3 +150,37 @@ def test_shuffle_is_a_reproducible_permutation(spark):
 def test_label_threshold(spark, path):
     df = samples.label_ratings(spark.createDataFrame([(1, 1, 3.5, 1), (1, 2, 3.0, 2)], SCHEMA))
     assert [r[path] for r in df.orderBy("movieId").collect()] == ([1, 0] if path == "label" else [3.5, 3.0])
+
+
+def test_item_stats_before_across_cuts(spark):
+    import statistics
+
+    # Item 1 and the null item hold most rows; large values show cancellation.
+    rows = [(u, [1, 1, 1, None, 2][u % 5], 1e6 + (u * 37 % 11) / 2 if u % 7 else None, u * 13 % 101) for u in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    expected, past = {}, {}
+    for u, m, r, t in sorted(rows, key=lambda x: (x[3], x[2] is not None, x[2] or 0, x[0])):
+        seen = past.setdefault(m, [])
+        known = [x for x in seen if x is not None]
+        mean, sd = sum(known) / len(known) if known else 0, statistics.stdev(known) if len(known) > 1 else 0
+        expected[u] = (len(seen), mean, sd)
+        seen.append(r)
+    for hot_rows in (10**6, 30):
+        found = samples.item_stats_before(frame, COLS, hot_rows=hot_rows).collect()
+        assert len(found) == 400
+        for x in found:
+            n, mean, sd = expected[x.userId]
+            assert x.movieRatingCount == n
+            assert abs(x.movieAvgRating - mean) < 0.0051 and abs(x.movieRatingStddev - sd) < 0.0051
+    plan = samples.item_stats_before(frame, COLS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert samples.item_stats_before(frame.limit(0), COLS).count() == 0
+
+
+def test_point_in_time_samples(spark):
+    ratings = [(u, m, 1.0 + u % 4, 10 * m + u) for u in range(6) for m in range(5)]
+    items = [(m, f"T ({2000 + m})", "A|B") for m in range(4)]
+    whole, past = build(spark, ratings, items), build(spark, ratings, items, point_in_time=True)
+    assert set(whole) == set(past)
+    assert all(whole[k].movieRatingCount == 6 and past[k].movieRatingCount == k[0] for k in whole)
+    assert all(whole[k].releaseYear == past[k].releaseYear and whole[k].userGenre1 == past[k].userGenre1 for k in whole)
