@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tastemill.columns import RatingColumns
 from tastemill.functions.scalars import draw
 from tastemill.operators.encoders import label_index
+from tastemill.operators.neighbours import pruned_matches
 from tastemill.operators.skew import HOT_ROWS, lookup_join
 from tastemill.session import ensure_checkpoint_dir
 
@@ -150,6 +151,18 @@ def ranked(recommendations: DataFrame) -> DataFrame:
     )
 
 
+def pruned_lists(model: ALSModel, recommended: str = "items", k: int = TOP_K) -> DataFrame:
+    """The lists of ``ranked`` for all users (of items) or all items (of users), without scoring every pair.
+
+    ``scored`` is how many factors were compared for the list's owner. Scores are doubles.
+    """
+    owners, others = factors(model, "users"), factors(model, "items")
+    if recommended == "users":
+        owners, others = others, owners
+    found = pruned_matches(owners, others, k)
+    return found.select(F.col("query").alias("id"), "rank", F.col("item").alias("recommended"), "score", "scored")
+
+
 def cross_validate(
     ratings: DataFrame,
     keys: list[str],

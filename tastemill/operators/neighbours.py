@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions.scalars import dot
 from tastemill.operators.embeddings import SIMILAR_ITEMS
 from tastemill.operators.skew import BROADCAST_BYTES
+from tastemill.session import ensure_checkpoint_dir
 
 # Query vectors that travel together in one row.
 BLOCK_QUERIES = 64
+# Vectors of about one length that are compared, or left out, together.
+BLOCK_VECTORS = 1024
+# What rounding can add to a dot product, as a share of its bound.
+ROUNDING = 1e-9
 
 
 def best_matches(
@@ -54,6 +59,88 @@ def best_matches(
     return ranked.where((F.col("rank") <= k) & F.col("score").isNotNull())
 
 
+def pruned_matches(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    *,
+    block_vectors: int = BLOCK_VECTORS,
+    pass_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """As ``best_matches``, but leaving out vectors too short to matter: also ``scored``, how many a query met.
+
+    Both tables have different items. Vectors are dealt into blocks by falling
+    length, by a range shuffle. No dot product exceeds the product of both
+    lengths, so a query whose k-th best so far is above its bound for a block is
+    done with this block and all after it. Blocks are sent to the queries, one
+    first, then twice as many each time, up to half of ``pass_bytes``; the
+    search ends where no query is open. Lists are written down after each pass,
+    so a lost executor costs one pass. Exact for any vectors; where all are of
+    one length nothing is left out.
+    """
+    ensure_checkpoint_dir(vectors.sparkSession)
+    length = F.sqrt(dot("vector", "vector"))
+    measured = vectors.select("item", "vector", length.alias("length")).where("length IS NOT NULL")
+    n, width = measured.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    parts = max(1, -(-n // block_vectors))
+    blocks = (
+        measured.repartitionByRange(parts, F.col("length").desc(), "item")
+        .groupBy(F.spark_partition_id().alias("block"))
+        .agg(F.max("length").alias("longest"), F.collect_list(F.struct("item", "vector")).alias("members"))
+        .checkpoint()
+    )
+    most = max(1, int(pass_bytes // (2 * block_vectors * (8 * width + 48))))
+    no_matches = F.array().cast("array<struct<falling: double, item: bigint>>")
+    state = queries.select(
+        F.col("item").alias("query"),
+        F.col("vector").alias("wanted"),
+        length.alias("reach"),
+        no_matches.alias("found"),
+        F.lit(0).cast("long").alias("scored"),
+    ).where("reach IS NOT NULL").checkpoint()
+    # Null while there are fewer than k.
+    least = -F.get(F.col("found"), F.lit(k - 1))["falling"]
+
+    def is_open(longest) -> Column:
+        bound = F.col("reach") * longest
+        return F.col("least").isNull() | (bound + bound * F.lit(ROUNDING) >= F.col("least"))
+
+    def best(matches: Column) -> Column:
+        return F.slice(F.array_sort(matches), 1, k)
+
+    start, count = 0, 1
+    while start < parts:
+        here = blocks.where((F.col("block") >= start) & (F.col("block") < start + count))
+        start, count = start + count, min(2 * count, most)
+        longest = here.agg(F.max("longest")).first()[0]
+        if longest is None:
+            continue
+        asked = state.withColumn("least", least)
+        if asked.where(is_open(F.lit(longest))).isEmpty():
+            break
+        met = asked.select("query", "wanted", "reach", "least").join(F.broadcast(here), is_open(F.col("longest")))
+        scores = F.transform(
+            "members",
+            lambda m: F.struct((-dot(F.col("wanted"), m["vector"])).alias("falling"), m["item"].cast("long").alias("item")),
+        )
+        gained = (
+            met.select("query", best(F.filter(scores, lambda s: s["falling"].isNotNull())).alias("more"), F.size("members").alias("n"))
+            .groupBy("query")
+            .agg(F.flatten(F.collect_list("more")).alias("more"), F.sum("n").alias("n"))
+        )
+        state = (
+            state.join(gained, "query", "left")
+            .withColumn("found", F.when(F.col("more").isNull(), F.col("found")).otherwise(best(F.concat("found", "more"))))
+            .withColumn("scored", F.col("scored") + F.coalesce("n", F.lit(0)))
+            .drop("more", "n")
+            .checkpoint()
+        )
+    listed = state.select("query", "scored", F.posexplode("found").alias("place", "match"))
+    return listed.select(
+        "query", F.col("match.item").alias("item"), (-F.col("match.falling")).alias("score"), (F.col("place") + 1).alias("rank"), "scored"
+    )
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """Vectors divided by their length; those of length zero are left out."""
     norm = F.sqrt(dot("vector", "vector"))

@@ -488,4 +488,10 @@ FROM joined""",
     + "scored AS (SELECT userId, item AS movieId, list_dot_product(u.vector, v.vector) AS s FROM users u, vectors v), "
     + "best AS (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY s DESC, movieId) AS rank FROM scored) "
     + "SELECT userId, rank::INTEGER AS rank, movieId, round(s, 4) AS score FROM best WHERE rank <= 10",
+    "users_of_items_topk": with_(RATINGS, VECTORS, USER_SUMS)
+    + ", users AS (SELECT userId, list(value ORDER BY position) AS vector FROM user_dims GROUP BY userId), "
+    + "scored AS (SELECT item AS movieId, userId, list_dot_product(v.vector, u.vector) AS s FROM users u, vectors v "
+    + f"WHERE item % {QUERY_STEP} = 0), "
+    + "best AS (SELECT *, row_number() OVER (PARTITION BY movieId ORDER BY s DESC, userId) AS rank FROM scored) "
+    + "SELECT movieId, rank::INTEGER AS rank, userId, round(s, 4) AS score FROM best WHERE rank <= 10",
 }

@@ -16,7 +16,7 @@ from tastemill.operators import ctr_models as models
 from tastemill.operators import embeddings as emb
 from tastemill.operators import encoders as enc
 from tastemill.operators import history, samples, sequences, snapshots, walks
-from tastemill.operators.neighbours import best_matches, similar_items_batch
+from tastemill.operators.neighbours import best_matches, pruned_matches, similar_items_batch
 from tastemill.operators.pair_factors import fit_pair_factors
 from tastemill.plans.jobs import model_samples
 from tastemill.session import ensure_checkpoint_dir, shared_dir
@@ -630,6 +630,16 @@ def stored_vectors_topk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def users_of_items_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Users for items by dot product, without the users whose vectors are too short to be among them."""
+    items = item_vectors(spark, folder)
+    users = emb.user_vectors(line_ratings(spark, folder), items, STORED_VECTOR_SIZE).withColumnRenamed("userId", "item")
+    found = pruned_matches(items.where(F.col("item") % QUERY_STEP == 0), users, cf.TOP_K)
+    return found.select(
+        F.col("query").alias("movieId"), "rank", F.col("item").alias("userId"), F.round("score", 4).alias("score")
+    )
+
+
 def two_tower_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Tower vectors of all items and users with training rows, from their latest features."""
     train, _ = training_frames(spark, folder)
@@ -679,6 +689,10 @@ def als_item_lists(spark: SparkSession, folder: str) -> DataFrame:
     return cf.ranked(cf.recommend_items(_als(spark, folder)[0]))
 
 
+def als_item_lists_pruned(spark: SparkSession, folder: str) -> DataFrame:
+    return cf.pruned_lists(_als(spark, folder)[0], "items")
+
+
 def als_user_lists(spark: SparkSession, folder: str) -> DataFrame:
     return cf.ranked(cf.recommend_users(_als(spark, folder)[0]))
 
@@ -787,11 +801,13 @@ QUERIES: dict[str, Query] = {
     "fm": click_query("fm"),
     "two_tower": click_query("two_tower"),
     "stored_vectors_topk": stored_vectors_topk,
+    "users_of_items_topk": users_of_items_topk,
     "two_tower_topk": two_tower_topk,
     "als_predictions": als_predictions,
     "als_errors": als_errors,
     "als_fit": als_fit,
     "als_item_lists": als_item_lists,
+    "als_item_lists_pruned": als_item_lists_pruned,
     "als_user_lists": als_user_lists,
     "als_fold_errors": als_fold_errors,
     "item2vec_values": item2vec_values,

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tastemill.operators.embeddings import similar_items
-from tastemill.operators.neighbours import best_matches, similar_items_batch
+from tastemill.operators.neighbours import best_matches, pruned_matches, similar_items_batch
 
 SCHEMA = "item long, vector array<double>"
 
@@ -43,3 +43,35 @@ def test_ties_copies_nulls_and_empty_tables(spark):
     assert found == [0, 1, 2, 3]
     empty = spark.createDataFrame([], SCHEMA)
     assert similar_items_batch(empty, vectors).count() == 0 and similar_items_batch(vectors, empty).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"block_vectors": 7}, {"block_vectors": 5, "pass_bytes": 2000}])
+def test_pruned_matches_equal_brute_force(spark, options):
+    rng = np.random.default_rng(9)
+    # A few long vectors, many short ones, ties, a zero vector and null ones.
+    rows = [(i, (v * 3.0 ** (-(i % 40) / 4)).tolist()) for i, v in enumerate(rng.normal(size=(400, 5)))]
+    rows += [(400 + i, rows[0][1]) for i in range(3)] + [(500, [0.0] * 5), (501, None), (502, [None] * 5)]
+    vectors = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    asked = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(12, 5)))] + [(50, [0.0] * 5), (51, None)]
+    found = pruned_matches(spark.createDataFrame(asked, SCHEMA), vectors, 6, **options).collect()
+    whole = [(i, v) for i, v in rows if v is not None and v[0] is not None]
+    for query, vector in asked[:-1]:
+        scores = sorted((-sum(x * y for x, y in zip(vector, v)), i) for i, v in whole)
+        assert [r.item for r in sorted(found, key=lambda r: r.rank) if r.query == query] == [i for _, i in scores[:6]]
+    assert {r.query for r in found} == {i for i, _ in asked[:-1]}
+    if options:
+        assert max(r.scored for r in found if r.query != 50) < len(whole)
+    empty = spark.createDataFrame([], SCHEMA)
+    assert pruned_matches(empty, vectors, 3).count() == 0 and pruned_matches(vectors, empty, 3).count() == 0
+
+
+def test_pruned_lists_equal_those_of_als(spark, folder):
+    from tastemill.operators import collaborative as cf
+    from tastemill.plans.registry import _als_rows
+
+    model = cf.fit_als(_als_rows(spark, folder), iterations=3)
+    for side, lists in (("items", cf.recommend_items(model)), ("users", cf.recommend_users(model))):
+        expected = {(r.id, r["rank"]): r.score for r in cf.ranked(lists).collect()}
+        found = {(r.id, r["rank"]): r.score for r in cf.pruned_lists(model, side).collect()}
+        assert set(found) == set(expected)
+        assert all(abs(found[key] - expected[key]) < 1e-4 for key in expected)
