@@ -404,6 +404,7 @@ ORACLES: dict[str, str] = {
     + "SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS k FROM ("
     + "SELECT q.item AS query, v.item AS item, list_cosine_similarity(q.vector, v.vector) AS similarity "
     + f"FROM vectors q JOIN vectors v ON q.item <> v.item WHERE q.item % {QUERY_STEP} = 0)) WHERE k <= 20",
+    "similar_catalogue_recall": f"SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % {QUERY_STEP} = 0",
     "dot_crosses": with_(*GENRE_SAMPLES, VECTORS, USER_SUMS)
     + f""",
 user_sum AS (SELECT userId, list(value ORDER BY position) AS userVector FROM user_dims GROUP BY userId),
@@ -458,6 +459,32 @@ FROM joined""",
     "als_scores": with_(RATINGS, ALS_SIDES, ALS_SCORED)
     + "SELECT orderKey, lineNumber, suppKey, userId::INTEGER AS userIdInt, movieId::INTEGER AS movieIdInt, "
     + "rating AS ratingFloat, true AS finite FROM scored",
+    "als_half_step": with_(RATINGS, VECTORS)
+    + """
+, sums AS (
+  SELECT userId, sum(vector[1] * vector[1]) + 0.01 * count(*) AS a, sum(vector[1] * vector[2]) AS b,
+         sum(vector[2] * vector[2]) + 0.01 * count(*) AS d, sum(rating * vector[1]) AS p, sum(rating * vector[2]) AS q
+  FROM r JOIN vectors ON item = movieId GROUP BY userId
+)
+SELECT userId, round((d * p - b * q) / (a * d - b * b), 5) + 0.0 AS x, round((a * q - b * p) / (a * d - b * b), 5) + 0.0 AS y
+FROM sums""",
+    "item_information": with_(EVENTS)
+    + """
+, placed AS (
+  SELECT userId, movieId, k, (k - 1) // 1000 AS segment FROM (
+    SELECT userId, movieId, row_number() OVER (PARTITION BY userId ORDER BY timestamp, eventId) AS k FROM e WHERE rating >= 3.5)
+),
+near AS (
+  SELECT p.movieId AS a, q.movieId AS b FROM placed p JOIN placed q
+  ON p.userId = q.userId AND p.segment = q.segment AND q.k BETWEEN p.k + 1 AND p.k + 5
+),
+counted AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM near UNION ALL SELECT b, a FROM near) GROUP BY a, b),
+marginal AS (SELECT a AS item, sum(n) AS n FROM counted GROUP BY a),
+ratios AS (
+  SELECT c.a, c.b, c.n * (SELECT sum(n)::DOUBLE FROM counted) / (x.n::DOUBLE * y.n) AS ratio
+  FROM counted c JOIN marginal x ON x.item = c.a JOIN marginal y ON y.item = c.b
+)
+SELECT a, b, round(ln(ratio), 6) AS weight FROM ratios WHERE ratio > 1""",
     "als_fit": with_(RATINGS)
     + f"SELECT count(*) AS scored, true AS belowMean FROM (SELECT {SPLIT} FROM r) WHERE split = 'train'",
     "als_rmse": with_(RATINGS, ALS_SIDES, ALS_SCORED)

@@ -16,6 +16,7 @@ from tastemill.operators import ctr_models as models
 from tastemill.operators import embeddings as emb
 from tastemill.operators import encoders as enc
 from tastemill.operators import history, samples, sequences, snapshots, walks
+from tastemill.operators import als_sums, pmi_vectors, vector_index
 from tastemill.operators.neighbours import best_matches, pruned_matches, similar_items_batch
 from tastemill.operators.pair_factors import fit_pair_factors
 from tastemill.plans.jobs import model_samples
@@ -64,6 +65,10 @@ QUERY_ITEM = 158
 QUERY_STEP = 100
 # Walks that DeepWalk trains on, for each item that a walk can start from.
 WALKS_PER_ITEM = 20
+# Numbers of a stored vector that stand for an item's factors.
+STORED_FACTORS = 2
+# The share of the exact lists that the index must find.
+LEAST_RECALL = 0.9
 CV_GRID = [{"regularization": cf.REGULARIZATION}]
 
 
@@ -339,6 +344,32 @@ def similar_vectors_batch(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def _catalogue(spark: SparkSession, folder: str) -> tuple[DataFrame, vector_index.VectorIndex | None, int]:
+    vectors = item_vectors(spark, folder)
+    index = vector_index.fit_index(vectors)
+    return vectors, index, vector_index.measured_probes(index) if index else 0
+
+
+def similar_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """The items similar to every item, by an index of the whole catalogue."""
+    vectors, index, probes = _catalogue(spark, folder)
+    if index is None:
+        return spark.createDataFrame([], "query long, item long, similarity double, rank int")
+    return vector_index.search(index, vectors, probes=probes)
+
+
+def similar_catalogue_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the index finds enough of the exact lists of the ids divisible by 100."""
+    vectors, index, probes = _catalogue(spark, folder)
+    asked = vectors.where(F.col("item") % QUERY_STEP == 0)
+    if index is None:
+        return spark.createDataFrame([(0, False)], "queries long, enough boolean")
+    measured = vector_index.recall_table(
+        vector_index.search(index, asked, probes=probes), similar_items_batch(asked, vectors)
+    )
+    return measured.select("queries", (F.col("recall") >= LEAST_RECALL).alias("enough"))
+
+
 def dot_crosses(spark: SparkSession, folder: str) -> DataFrame:
     vectors, items = item_vectors(spark, folder), part_items(spark, folder)
     size = STORED_VECTOR_SIZE
@@ -685,6 +716,27 @@ def als_fit(spark: SparkSession, folder: str) -> DataFrame:
     return errors.select("scored", (F.col("rmse") < F.col("meanRmse")).alias("belowMean"))
 
 
+def als_half_step(spark: SparkSession, folder: str) -> DataFrame:
+    """Users' factors from their ratings, while the first numbers of the stored vectors are those of the items."""
+    items = item_vectors(spark, folder).withColumn("vector", F.slice("vector", 1, STORED_FACTORS))
+    ratings = line_ratings(spark, folder)
+    found = als_sums.half_step(ratings, items, "userId", "movieId", "rating", rank=STORED_FACTORS)
+    values = [F.round(F.col("vector")[i], 5) + 0.0 for i in range(STORED_FACTORS)]
+    return found.select(F.col("item").alias("userId"), values[0].alias("x"), values[1].alias("y"))
+
+
+def als_sums_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """The errors of ``als_errors`` for a model by summed normal equations, with ids of 64 bits."""
+    rows = samples.hash_split(line_ratings(spark, folder), LINE_KEYS).select("userId", "movieId", "rating", "split").persist()
+    train = rows.where("split = 'train'")
+    mean = train.agg(F.avg("rating")).first()[0]
+    wrong = lambda guess: F.sqrt(F.avg((guess - F.col("rating")) * (guess - F.col("rating"))))
+    scored = als_sums.fit_als_sums(train, "userId", "movieId", "rating").score(rows, "userId", "movieId")
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("scored"), wrong(F.col("prediction")).alias("rmse"), wrong(F.lit(mean)).alias("meanRmse")
+    )
+
+
 def als_item_lists(spark: SparkSession, folder: str) -> DataFrame:
     return cf.ranked(cf.recommend_items(_als(spark, folder)[0]))
 
@@ -710,6 +762,16 @@ def deepwalk_values(spark: SparkSession, folder: str) -> DataFrame:
     return emb.model_vectors(_deepwalk(event_ratings(spark, folder), EVENT_RATINGS))
 
 
+def item_information(spark: SparkSession, folder: str) -> DataFrame:
+    """How much more often than chance two items are liked near each other."""
+    found = pmi_vectors.co_occurrences(sequences.user_sequences(event_ratings(spark, folder), EVENT_RATINGS))
+    return pmi_vectors.positive_information(found).select("a", "b", F.round("weight", 6).alias("weight"))
+
+
+def pmi_item_values(spark: SparkSession, folder: str) -> DataFrame:
+    return pmi_vectors.pmi_vectors(sequences.user_sequences(event_ratings(spark, folder), EVENT_RATINGS))
+
+
 def score_query(name: str) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         train, test = training_frames(spark, folder)
@@ -770,6 +832,8 @@ QUERIES: dict[str, Query] = {
     "user_vectors": user_vectors,
     "similar_vectors": similar_vectors,
     "similar_vectors_batch": similar_vectors_batch,
+    "similar_catalogue": similar_catalogue,
+    "similar_catalogue_recall": similar_catalogue_recall,
     "dot_crosses": dot_crosses,
     "hashed_cross": hashed_cross,
     "genre_vocab_lookup": genre_vocab_lookup,
@@ -806,10 +870,14 @@ QUERIES: dict[str, Query] = {
     "als_predictions": als_predictions,
     "als_errors": als_errors,
     "als_fit": als_fit,
+    "als_half_step": als_half_step,
+    "als_sums_errors": als_sums_errors,
     "als_item_lists": als_item_lists,
     "als_item_lists_pruned": als_item_lists_pruned,
     "als_user_lists": als_user_lists,
     "als_fold_errors": als_fold_errors,
+    "item_information": item_information,
+    "pmi_item_values": pmi_item_values,
     "item2vec_values": item2vec_values,
     "deepwalk_values": deepwalk_values,
     "pair_scores": pair_scores,
