@@ -5,24 +5,28 @@ streamed through it; at each word it knows the longest item passage that ends
 there. A word inside any occurrence of a window (``window`` consecutive item
 words, or the whole of a shorter item) is hit.
 
-Items are dealt into blocks of a bounded number of words; each block's automaton
-is broadcast in turn, so its size doesn't grow with the benchmark. Before the
-streaming, arrays rule out stretches that can't hold a window: each two
+Items are dealt into blocks of a bounded number of words, and tasks build their
+automata. One automaton at a time passes through the driver, as bytes, and is broadcast; the
+documents are streamed through one after the other, and what each finds is kept with
+the rows. Before the streaming, arrays rule out stretches that can't hold a window: each two
 neighbouring words of a window are neighbours in an item.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tastemill.llm.common import map_text
+from tastemill.llm.common import map_text, saved, written
 
 # Over UTF-8: bytes from 0x80 on belong to words.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -186,25 +190,96 @@ def item_pieces(benchmark: DataFrame, window: int, item_column: str) -> DataFram
     return map_text(benchmark, [item_column, "text"], "item string, words array<binary>, whole boolean", make)
 
 
-def item_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, item_column: str = "item_id"):
-    """The broadcast automata of the benchmark, one after the other."""
-    spark = benchmark.sparkSession
-    pieces = item_pieces(benchmark, window, item_column).persist()
-    try:
-        total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-        n = int(total // block_words) + 1
-        block = F.pmod(F.xxhash64("item", "words"), F.lit(n))
-        for i in range(n):
-            rows = pieces.where(block == i).collect() if n > 1 else pieces.collect()
-            automaton = Automaton(sorted((r.item, [bytes(w) for w in r.words], r.whole) for r in rows), window)
-            yield spark.sparkContext.broadcast(vars(automaton))
-    finally:
-        pieces.unpersist()
+def item_automata(benchmark: DataFrame, window: int, block_words: int, item_column: str) -> tuple[DataFrame, int]:
+    """The automata as ``(block, automaton)`` with pickled bytes, each built in a task, and the number of blocks.
 
+    Repeated pieces count once, so equal items don't gather in one block. A
+    block without pieces has no row.
+    """
+    pieces = saved(item_pieces(benchmark, window, item_column).distinct())
+    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = int(total // block_words) + 1
+
+    def build(block: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(block.column(c).to_pylist() for c in ("item", "words", "whole"))))
+        made = pickle.dumps(vars(Automaton(rows, window)), pickle.HIGHEST_PROTOCOL)
+        return pa.table({"block": block.column("block")[:1], "automaton": pa.array([made], pa.binary())})
+
+    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(n)).cast("int"))
+    return saved(numbered.groupBy("block").applyInArrow(build, "block int, automaton binary")), n
 
-def rebuilt(parts: dict[str, object]) -> Automaton:
+
+def _streamed(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    window: int,
+    block_words: int,
+    item_column: str,
+    schema: T.StructType | str,
+    finish: Callable[[pa.RecordBatch, list[list[bytes]], list[np.ndarray], list[set[str]]], dict[str, object]],
+) -> DataFrame:
+    """``finish`` of blocks of documents, their words, which of these are hit, and the items found.
+
+    All automata but the last are followed in passes of their own; the spans and
+    items found so far are written down with the rows, and the automaton is
+    released before the next one is read.
+    """
+    spark = documents.sparkSession
+    automata, n = item_automata(benchmark, window, block_words, item_column)
+    columns, hits_name, items_name = documents.columns, "__hit_spans", "__hit_items"
+    carried = T.StructType([
+        *documents.schema.fields,
+        T.StructField(hits_name, T.ArrayType(T.ArrayType(T.LongType()))),
+        T.StructField(items_name, T.ArrayType(T.StringType())),
+    ])
+
+    def searched(shared: object, held: list, block: pa.RecordBatch) -> tuple[list, list, list]:
+        # Rebuilt once in each task.
+        if not held:
+            held.append(_unpickled(shared.value))
+        texts = [words_of(t) for t in block.column("text").to_pylist()]
+        hits = [np.zeros(len(t), bool) for t in texts]
+        items: list[set] = [set() for _ in texts]
+        if hits_name in block.schema.names:
+            for hit, found, spans, names in zip(hits, items, block.column(hits_name).to_pylist(), block.column(items_name).to_pylist()):
+                found.update(names)
+                for first, end in spans:
+                    hit[first:end] = True
+        for d, (hit, found) in enumerate(held[0].search(texts) if held[0] else ()):
+            hits[d] |= hit
+            items[d] |= found
+        return texts, hits, items
+
+    def passing(shared: object) -> Callable[[pa.RecordBatch], dict[str, object]]:
+        held: list = []
+
+        def make(block: pa.RecordBatch) -> dict[str, object]:
+            _, hits, items = searched(shared, held, block)
+            made = {c: block.column(c) for c in columns}
+            return {**made, hits_name: [[list(s) for s in _spans(h)] for h in hits], items_name: [sorted(s) for s in items]}
+
+        return make
+
+    def last(shared: object) -> Callable[[pa.RecordBatch], dict[str, object]]:
+        held: list = []
+        return lambda block: finish(block, *searched(shared, held, block))
+
+    rows = documents
+    for i in range(n):
+        found = automata.where(F.col("block") == i).first()
+        shared = spark.sparkContext.broadcast(bytes(found["automaton"]) if found else b"")
+        if i == n - 1:
+            return map_text(rows, rows.columns, schema, last(shared))
+        rows = written(map_text(rows, rows.columns, carried, passing(shared)))
+        shared.unpersist()
+
+
+def _unpickled(data: bytes) -> Automaton | None:
+    """The automaton of pickled bytes, None of no bytes."""
+    if not data:
+        return None
     automaton = Automaton.__new__(Automaton)
-    vars(automaton).update(parts)
+    vars(automaton).update(pickle.loads(data))
     return automaton
 
 
@@ -232,21 +307,8 @@ def contamination(
     nothing is hit. Other columns are not read.
     """
     kind = documents.schema[id_column].dataType.simpleString()
-    blocks = list(item_blocks(benchmark, window, block_words, item_column))
-    automata: dict[int, Automaton] = {}
 
-    def make(block: pa.RecordBatch) -> dict[str, object]:
-        texts = [words_of(t) for t in block.column("text").to_pylist()]
-        hits = [np.zeros(len(t), bool) for t in texts]
-        items: list[set] = [set() for _ in texts]
-        for i, shared in enumerate(blocks):
-            if i not in automata:
-                if len(automata) > 3:
-                    automata.clear()
-                automata[i] = rebuilt(shared.value)
-            for d, (hit, found) in enumerate(automata[i].search(texts)):
-                hits[d] |= hit
-                items[d] |= found
+    def finish(block: pa.RecordBatch, texts: list, hits: list, items: list) -> dict[str, object]:
         n_hit = [int(h.sum()) for h in hits]
         return {
             id_column: block.column(id_column),
@@ -258,7 +320,7 @@ def contamination(
         }
 
     schema = f"{id_column} {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
-    return map_text(documents, [id_column, "text"], schema, make)
+    return _streamed(documents.select(id_column, "text"), benchmark, window, block_words, item_column, schema, finish)
 
 
 def decontaminated(
@@ -278,8 +340,6 @@ def decontaminated(
     if there, is set to the new number of code points. Clashing extra columns
     pass through.
     """
-    blocks = list(item_blocks(benchmark, window, block_words, item_column))
-    automata: dict[int, Automaton] = {}
     names = documents.columns
     count = next((c for c in names if c == "n_chars"), None)
 
@@ -294,17 +354,8 @@ def decontaminated(
             at = places[end - 1][1]
         return b"".join([*kept, raw[at:]]).strip().decode()
 
-    def make(block: pa.RecordBatch) -> dict[str, object]:
+    def finish(block: pa.RecordBatch, texts: list, hits: list, items: list) -> dict[str, object]:
         whole = block.column("text").to_pylist()
-        texts = [words_of(t) for t in whole]
-        hits = [np.zeros(len(t), bool) for t in texts]
-        for i, shared in enumerate(blocks):
-            if i not in automata:
-                if len(automata) > 3:
-                    automata.clear()
-                automata[i] = rebuilt(shared.value)
-            for d, (hit, _) in enumerate(automata[i].search(texts)):
-                hits[d] |= hit
         new, keep = [], []
         for text, hit in zip(whole, hits):
             result = cleaned(text, hit) if hit.any() else text
@@ -319,4 +370,4 @@ def decontaminated(
             made[count] = [len(t) if changed else n for t, n, changed in zip(made["text"], old, same)]
         return made
 
-    return map_text(documents, names, documents.schema, make)
+    return _streamed(documents, benchmark, window, block_words, item_column, documents.schema, finish)
