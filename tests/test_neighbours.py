@@ -75,3 +75,24 @@ def test_pruned_lists_equal_those_of_als(spark, folder):
         found = {(r.id, r["rank"]): r.score for r in cf.pruned_lists(model, side).collect()}
         assert set(found) == set(expected)
         assert all(abs(found[key] - expected[key]) < 1e-4 for key in expected)
+
+
+def test_equal_vectors_have_equal_scores_in_any_block():
+    from tastemill.operators.neighbours import exact_dots, top_matches
+
+    rng = np.random.default_rng(2)
+    queries, vectors = rng.normal(size=(300, 7)), rng.normal(size=(5_000, 7))
+    vectors[[3, 900, 4_999]] = 3 * vectors[0]
+    places, scores, met = top_matches(queries, vectors, 8, block_vectors=64)
+    whole = np.stack([exact_dots(np.tile(q, (5_000, 1)), vectors) for q in queries])
+    expected = np.argsort(-whole, axis=1, kind="stable")[:, :8]
+    assert (places == expected).all() and (scores == np.take_along_axis(whole, expected, axis=1)).all()
+    assert met.max() < 5_000
+
+
+def test_lists_are_joined_by_blocks(spark):
+    """Rows that meet one by one took most of the time of large searches."""
+    _, vectors = table(spark, 40, 5)
+    for found in (best_matches(vectors, vectors, 3), pruned_matches(vectors, vectors, 3)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
