@@ -96,3 +96,16 @@ def test_lists_are_joined_by_blocks(spark):
     for found in (best_matches(vectors, vectors, 3), pruned_matches(vectors, vectors, 3)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
+
+
+def test_zero_queries_and_many_copies_take_the_first_items():
+    from tastemill.operators.neighbours import top_matches
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(3_000, 4))
+    vectors[1_000:] = vectors[7]
+    places, scores, met = top_matches(np.array([[0.0] * 4, vectors[7]]), vectors, 3, block_vectors=64)
+    longer = np.flatnonzero(vectors[:1_000] @ vectors[7] > vectors[7] @ vectors[7] + 1e-9)
+    assert places[0].tolist() == [0, 1, 2] and scores[0].tolist() == [0.0] * 3
+    best = longer[np.argsort(-(vectors[longer] @ vectors[7]))].tolist() + [7, 1_000, 1_001]
+    assert places[1].tolist() == best[:3]

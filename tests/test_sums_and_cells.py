@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,21 @@ def test_all_cells_are_the_exact_search(spark, clustered):
         assert sorted({r["rank"] for r in found}) == list(range(1, 11))
 
 
+def test_queries_travel_once_to_a_bundle_of_cells(spark, clustered):
+    """A vector repeated for every cell that is looked into took all of a task's memory."""
+    index = vector_index.fit_index(clustered)
+    probes = len(index.centres) - 1
+    assert probes > 20
+    few = vector_index._with_cells(index.table.select("item", "vector"), index.centres, probes)
+    assert few.count() == probes * index.table.count()
+    batch = pa.record_batch([pa.array(range(1_000))], ["item"])
+    assert [b.num_rows for b in vector_index._slices([batch], vector_index.SLICE_BYTES // 400)] == [400, 400, 200]
+    found = vector_index.search(index, clustered, 3, probes=probes)
+    lines = found._jdf.queryExecution().executedPlan().toString()
+    assert "cells" in lines and "place" not in lines
+    assert vector_index._bundles({0: 5, 1: 4, 2: 30, 3: 2, 5: 9}, 10) == {0: [0], 1: [0], 2: [1, 2, 3], 3: [4], 5: [5]}
+
+
 def test_few_cells_find_most(spark, clustered):
     index = vector_index.fit_index(clustered, sample_rows=800)
     assert index.table.count() == 1_500 + 700 + 3
