@@ -132,3 +132,13 @@ def test_ids_beyond_32_bits_are_kept(spark):
     found = cf.original_ids(cf.original_ids(top, "id", users), "recommended", items).collect()
     assert {r.id for r in found} == {r[0] for r in rows} and len(found) == 12
     assert {r.recommended for r in found} <= {r[1] for r in rows}
+
+
+def test_folds_keep_what_models_read_and_als_clears_its_files(ratings, monkeypatch):
+    data = cf.als_input(ratings, keep=("timestamp",))
+    rows, intervals = [], []
+    fit, als = cf.fit_als, cf.ALS
+    monkeypatch.setattr(cf, "fit_als", lambda df, **options: rows.append(set(df.columns)) or fit(df, **options))
+    monkeypatch.setattr(cf, "ALS", lambda **options: intervals.append(options.get("checkpointInterval")) or als(**options))
+    assert cf.cross_validate(data, [cf.USER, cf.ITEM], folds=2, iterations=2).count() == 2
+    assert rows == [{cf.USER, cf.ITEM, cf.RATING, "__fold"}] * 2 and intervals == [1, 1]
