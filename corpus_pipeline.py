@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastemill.llm import bpe, decontaminate, pii, quality, shingles
+from tastemill.llm import bpe, decontaminate, pii, quality, shingles, simhash
+from tastemill.llm.common import written
 from tastemill.llm.queries import VOCABULARY, table
 from tastemill.session import shared_dir
 
@@ -17,8 +18,14 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: links are texts whose five-word shingles have a Jaccard similarity of 0.8."""
-    return shingles.one_of_each_group(docs, words=5, similarity=0.8)
+    """One document of each group stays.
+
+    First of each group by SimHash, as in ``op5_simhash``: fingerprints at three or fewer differing bits.
+    Then of each group of what is left whose five-word shingles have a Jaccard
+    similarity of 0.8, computed on the sets themselves, since fingerprints miss many such pairs.
+    """
+    left = written(simhash.one_of_each(docs))
+    return shingles.one_of_each_group(left, words=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

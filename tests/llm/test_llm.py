@@ -209,6 +209,22 @@ def test_near_duplicate_stage_of_short_and_edited_texts(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4]
 
 
+def test_near_duplicate_stage_takes_simhash_groups(spark):
+    import corpus_pipeline
+
+    random.seed(17)
+    words = ["".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(1_200)]
+    edited = [w + "x" if i % 36 == 0 else w for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(edited), " ".join(words[::-1])]
+    fingerprints = [simhash.fingerprint(t) for t in texts]
+    assert (fingerprints[0] ^ fingerprints[1]).bit_count() <= 3 < (fingerprints[0] ^ fingerprints[2]).bit_count()
+    first, second = map(five_words, texts[:2])
+    assert len(first & second) < 0.8 * len(first | second)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = corpus_pipeline.one_of_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
 def brute_hits(rows, items, window):
     windows = {}
     for item, text in items:
