@@ -45,3 +45,20 @@ def test_scans_read_only_needed_columns(spark, folder):
 def test_positive_filter_is_applied_at_the_scan(spark, folder):
     text = plan(reg.item_pairs(spark, folder))
     assert "PushedFilters" in text
+
+
+def test_model_samples_carry_genres_once(spark, folder):
+    text = initial(plan(reg.line_samples(spark, folder)))
+    below = text.split("Exchange hashpartitioning")[1]
+    assert "movieGenre1" not in below
+
+
+def test_counting_users_joins_no_items(spark, folder, monkeypatch):
+    from tastemill.operators import skew
+
+    seen = []
+    counted = skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, *rest: seen.append(plan(df)) or counted(df, *rest))
+    for name in ("user_window_stats", "user_genre_prefs", "warm_rows"):
+        reg.QUERIES[name](spark, folder)
+    assert len(seen) == 3 and not any("InMemoryTableScan" in text for text in seen)

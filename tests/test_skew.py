@@ -13,6 +13,55 @@ def test_hot_keys(spark):
     assert hot_keys(df, ["k"], 60) is None
 
 
+def shuffled_rows_of_counts(spark, df, *keys):
+    """Rows that the tasks of ``hot_keys`` move, by the plan's shuffle of a count."""
+    from tastemill.operators import skew
+
+    found = []
+
+    class Seen:
+        def __getattr__(self, name):
+            return getattr(df, name)
+
+        def groupBy(self, *columns):
+            found.append(df.groupBy(*columns).count().count())
+            return df.groupBy(*columns)
+
+    assert skew.hot_keys(Seen(), list(keys), 1_000) is None
+    return found
+
+
+def test_hot_keys_moves_no_row_for_each_key(spark):
+    from tastemill.operators.skew import HOT_BUCKETS
+
+    df = spark.range(20_000).withColumn("k", F.col("id"))
+    counted = shuffled_rows_of_counts(spark, df, "k")
+    assert counted and max(counted) <= HOT_BUCKETS
+
+
+def test_hot_keys_with_nulls_and_two_columns(spark):
+    df = spark.range(90).select(F.when(F.col("id") >= 40, F.col("id") % 7).alias("a"), F.lit("x").alias("b"))
+    assert [(r["__hot_a"], r["__hot_b"], r["__n"]) for r in hot_keys(df, ["a", "b"], 30).collect()] == [(None, "x", 40)]
+
+
+def test_lookup_join_takes_given_counts(spark):
+    left = spark.range(300).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20))
+    # The key 4 comes twice.
+    right = spark.range(16).select(F.when(F.col("id") < 15, F.col("id")).otherwise(4).alias("k"), (F.col("id") * 2).alias("v"))
+    right = right.join(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k")
+
+    class Uncounted:
+        """Fails where the rows are counted."""
+
+        def __getattr__(self, name):
+            assert name not in ("groupBy", "where")
+            return getattr(left, name)
+
+    for how in ("left", "inner"):
+        given = lookup_join(Uncounted(), right, "k", how, broadcast_rows=0, hot_rows=30, salts=7, counted="n")
+        assert rows(given) == rows(left.join(right, "k", how))
+
+
 def test_lookup_join_strategies_agree(spark):
     left = spark.range(300).withColumn("k", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 20))
     left = left.withColumn("k", F.when(F.col("id") < 280, F.col("k")))
