@@ -105,6 +105,19 @@ def test_multi_hot_beyond_the_model(spark, monkeypatch):
     assert sorted(map(str, enc.multi_hot(items).collect())) == few
 
 
+def test_exact_quantiles_read_the_table_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100, numPartitions=4).select(F.col("id").cast("double").alias("x")).mapInArrow(counted, "x double")
+    assert enc.exact_quantiles(rows, "x", 4) == [24.0, 49.0, 74.0]
+    assert seen.value == 100
+
+
 def test_exact_quantiles_of_any_number(spark):
     from tastemill.operators import encoders as enc
 
