@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tastemill.columns import RatingColumns
 from tastemill.operators import embeddings as emb
 from tastemill.operators import sequences as seq
@@ -81,6 +83,15 @@ def test_popular_edges_and_small_ones_share_a_source(spark):
     assert all(len(r.path) == 4 and all(s in edges for s in zip(r.path, r.path[1:])) for r in found)
 
 
+def test_user_vectors_shuffle_ratings_once_and_no_sums(spark):
+    ratings = spark.range(60).select((F.col("id") % 7).alias("userId"), (F.col("id") % 5).alias("movieId"))
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (3, [0.5, -1.0])], "item long, vector array<double>")
+    summed, cut = (emb.user_vectors(ratings, vectors, 2, hot_rows=n) for n in (1_000, 5))
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {r.userId: r.vector for r in summed.collect()} == {r.userId: r.vector for r in cut.collect()}
+
+
 def test_user_vectors_sum_and_default_to_zero(spark):
     ratings = spark.createDataFrame([(1, 10, 1.0, 1), (1, 10, 5.0, 2), (1, 11, 2.0, 3), (2, 99, 5.0, 1)], SCHEMA)
     vectors = spark.createDataFrame([(10, [1.0, 2.0]), (11, [0.5, -1.0])], "item long, vector array<double>")

@@ -53,6 +53,16 @@ def test_model_samples_carry_genres_once(spark, folder):
     assert "movieGenre1" not in below
 
 
+def test_dot_crosses_shuffle_no_item_or_genre_vectors(spark, folder, monkeypatch):
+    from tastemill.operators import embeddings as emb
+
+    keys = []
+    attach = emb.attach_vectors
+    monkeypatch.setattr(emb, "attach_vectors", lambda df, v, key, *rest, **more: keys.append(key) or attach(df, v, key, *rest, **more))
+    reg.dot_crosses(spark, folder)
+    assert keys[0] == "userId"
+
+
 def test_counting_users_joins_no_items(spark, folder, monkeypatch):
     from tastemill.operators import skew
 
