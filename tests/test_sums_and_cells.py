@@ -50,6 +50,43 @@ def test_hot_items_are_summed_in_their_tasks(spark):
     frame.unpersist()
 
 
+@pytest.mark.parametrize(
+    "key, broadcast, hot_rows", [("long", True, 10**6), ("string", False, 10**6), ("long", False, 40), ("double", True, 10**6)]
+)
+def test_ratings_are_summed_where_they_meet(spark, monkeypatch, key, broadcast, hot_rows):
+    random.seed(5)
+    rows = [(random.randrange(70) // random.randrange(1, 4), random.randrange(30), random.random()) for _ in range(1_500)]
+    frame = spark.createDataFrame(rows, "user long, item long, rating double").withColumn("user", F.col("user").cast(key))
+    frame = frame.unionByName(frame.where("item = 3")).persist()
+    step, asked = als_sums.half_step, []
+    users, items = als_sums.first_vectors(frame, "user", 3, 42).checkpoint(), None
+    for _ in range(2):
+        items = step(frame, users, "item", "user", "rating", rank=3).checkpoint()
+        users = step(frame, items, "user", "item", "rating", rank=3).checkpoint()
+    monkeypatch.setattr(als_sums, "fits_broadcast", lambda table: broadcast)
+    monkeypatch.setattr(als_sums, "half_step", lambda *a, **o: asked.append(a[3]) or step(*a, **o))
+    model = als_sums.fit_als_sums(frame, "user", "item", "rating", rank=3, iterations=2, hot_rows=hot_rows)
+    for found, expected in ((model.users, users), (model.items, items)):
+        found, expected = ({r.item: r.vector for r in t.collect()} for t in (found, expected))
+        assert found.keys() == expected.keys() and all(np.allclose(found[k], expected[k]) for k in expected)
+    # Sums are moved for hot ids only, or where ids can't be told apart in tasks.
+    assert bool(asked) == (hot_rows == 40 or key == "double")
+    frame.unpersist()
+
+
+def test_rows_of_one_id_in_several_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = spark.range(40).select((F.col("id") % 3).alias("user"), (F.col("id") % 5 + 1.0).alias("rating"),
+                                  F.array(F.col("id") % 7 + 0.5, F.col("id") % 2 + 0.0).alias("__v"))
+    found = {r.item: r.vector for r in als_sums.solved_in_place(rows, "user", "rating", 2, 0.01).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = rows.collect()
+    for user in range(3):
+        v = np.array([r["__v"] for r in held if r.user == user])
+        y = np.array([r.rating for r in held if r.user == user])
+        assert np.allclose(found[user], np.linalg.solve(v.T @ v + 0.01 * len(v) * np.eye(2), v.T @ y))
+
+
 def brute_information(lists, window):
     counts = {}
     for items in lists:
