@@ -33,3 +33,15 @@ def test_stored_vectors_topk_answers_every_user(spark, tables):
         expected = {row[:2]: row[2:] for row in db.execute(ORACLES["stored_vectors_topk"]).fetchall()}
     assert found.keys() == expected.keys()
     assert all(found[key][0] == expected[key][0] and abs(found[key][1] - expected[key][1]) < 2e-4 for key in found)
+
+
+def test_two_tower_topk_answers_every_user(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    users, items = ([(i, rng.normal(size=8).tolist()) for i in range(1, n + 1)] for n in (7, 40))
+    made = [spark.createDataFrame(rows, "item long, vector array<double>") for rows in (items, users)]
+    monkeypatch.setattr(reg, "two_tower_vectors", lambda spark, folder: tuple(made))
+    found = {(r.userId, r["rank"]): r.movieId for r in reg.two_tower_topk(spark, "").collect()}
+    for user, vector in users:
+        best = sorted((-float(np.dot(vector, v)), i) for i, v in items)[:10]
+        assert [found[user, rank] for rank in range(1, 11)] == [i for _, i in best]
+    assert len(found) == 70
