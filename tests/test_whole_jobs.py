@@ -45,3 +45,12 @@ def test_two_tower_topk_answers_every_user(spark, monkeypatch):
         best = sorted((-float(np.dot(vector, v)), i) for i, v in items)[:10]
         assert [found[user, rank] for rank in range(1, 11)] == [i for _, i in best]
     assert len(found) == 70
+
+
+def test_training_samples_are_kept_compressed(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(reg, "shared_dir", lambda spark: str(tmp_path))
+    rows = reg.training_samples_csv(spark, folder)
+    [path] = tmp_path.iterdir()
+    parts = [p for p in path.iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.name.endswith(".csv.gz") for p in parts)
+    assert rows.count() == reg.line_samples(spark, folder).count()
